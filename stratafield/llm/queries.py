@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafield.llm import chat_format, decontaminate, sentencepiece_codec, token_counts, url_filter
+from stratafield.llm import chat_format, decontaminate, sentencepiece_codec, simhash, token_counts, toxicity, url_filter
 from stratafield.llm.common import table, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
@@ -46,6 +46,12 @@ FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, lexicon).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_path(MODEL)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -53,6 +59,11 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sentencepiece_codec.ids_digest("ids").alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.components(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, tokenizer_path(MODEL)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -79,5 +90,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op4_sentencepiece, op7_token_counts, op8_url_filter, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_toxicity, op4_sentencepiece, op5_simhash, op7_token_counts, op8_url_filter, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
