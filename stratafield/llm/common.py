@@ -73,7 +73,7 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField]
     return source.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in runs of about most_bytes at most, one row at least."""
     n = batch.num_rows
     step = max(1, int(n * most_bytes / max(batch.nbytes, 1)))

@@ -10,6 +10,7 @@ worker: dealing every occurrence out by word, to join with a global table, would
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ from stratafield.llm.common import append_columns
 
 MARK = "▁"
 _RUNS = re.compile(" ( *[^ ]*)")
-#: Marked words that a worker keeps, and the longest that it keeps (characters). Others are segmented when met.
-KEPT_WORDS, KEPT_LENGTH = 400_000, 48
+#: Marked words and ids that a worker keeps, and the longest word that it keeps (characters). Others are segmented when met.
+KEPT_WORDS, KEPT_IDS, KEPT_LENGTH = 400_000, 6_000_000, 48
 
 
 def marked_words(text: str) -> list[str]:
@@ -57,11 +58,18 @@ class WordTable:
         return cls._loaded[model_path]
 
     def reset(self) -> None:
+        """Entry 0 is the end id."""
         self.index: dict[str, int] = {}
-        self.ids = [np.array([self.library.eos_id()], dtype=np.int32)]
+        self.starts, self.sizes, self.values = np.zeros(1, np.int64), np.ones(1, np.int64), np.array([self.library.eos_id()], np.int32)
 
-    def segment(self, words: list[str]) -> list[np.ndarray]:
-        return [np.array(x if w else [self.lone], dtype=np.int32) for w, x in zip(words, self.library.encode(words, num_threads=1), strict=True)]
+    def add(self, words: list[str]) -> None:
+        """Segment words and append them to the table."""
+        lists = [x if w else [self.lone] for w, x in zip(words, self.library.encode(words, num_threads=1), strict=True)]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.index.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.values) + np.cumsum(sizes) - sizes])
+        self.values = np.concatenate([self.values, np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))])
+        self.sizes = np.concatenate([self.sizes, sizes])
 
     def encode(self, texts: list[str], end: bool) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and values of the ids of each text; entry 0 of the table is the end id."""
@@ -69,15 +77,12 @@ class WordTable:
             lists = [x + [self.library.eos_id()] * end for x in self.library.encode(texts, num_threads=1)]
             return np.cumsum([0, *map(len, lists)]), np.array([i for x in lists for i in x], dtype=np.int32)
         split = [marked_words(t) for t in texts]
-        new = list({w for words in split for w in words}.difference(self.index))
-        if len(self.index) + len(new) > KEPT_WORDS:
+        new = {w for words in split for w in words}.difference(self.index)
+        if len(self.index) + len(new) > KEPT_WORDS or len(self.values) > KEPT_IDS:
             self.reset()
-            new = list({w for words in split for w in words})
-        self.index.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
-        self.ids += self.segment(new)
-        sizes = np.fromiter(map(len, self.ids), dtype=np.int64, count=len(self.ids))
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        values = np.concatenate(self.ids)
+            new = {w for words in split for w in words}
+        self.add(list(new))
+        starts, sizes, values = self.starts, self.sizes, self.values
         find = self.index.__getitem__
         counts = np.fromiter((len(w) + end for w in split), dtype=np.int64, count=len(split))
         at = np.empty(int(counts.sum()), dtype=np.int64)
@@ -95,7 +100,7 @@ class WordTable:
         bounds = np.concatenate([[0], ends])
         offsets = bounds[np.concatenate([[0], np.cumsum(counts)])]
         for w in [w for w in new if len(w) > KEPT_LENGTH]:
-            self.ids[self.index.pop(w)] = np.empty(0, dtype=np.int32)
+            del self.index[w]
         return offsets, gathered
 
 
