@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafield.llm import chat_format, decontaminate, sentencepiece_codec, simhash, token_counts, toxicity, url_filter
+from stratafield.llm import chat_format, decontaminate, nearest, sentencepiece_codec, simhash, token_counts, toxicity, url_filter
 from stratafield.llm.common import table, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
@@ -46,6 +46,11 @@ FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest.nearest(vectors, F.col("id") % 20 == 0, k=20)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -90,5 +95,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_toxicity, op4_sentencepiece, op5_simhash, op7_token_counts, op8_url_filter, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_nearest, op3_toxicity, op4_sentencepiece, op5_simhash, op7_token_counts, op8_url_filter, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
