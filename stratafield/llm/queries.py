@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafield.llm import chat_format, decontaminate, nearest, sentencepiece_codec, simhash, token_counts, toxicity, url_filter
+from stratafield.llm import chat_format, decontaminate, license_scan, nearest, pii, sentencepiece_codec, simhash, token_counts, toxicity, url_filter
 from stratafield.llm.common import table, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
@@ -69,6 +69,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs).select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), F.concat_ws(",", F.array_sort(F.col("pii.kind"))).alias("kinds"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, tokenizer_path(MODEL)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -79,6 +84,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    best = F.get("licenses", F.lit(0))
+    return license_scan.scan(docs).select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), best["license"].alias("license"), best["coverage"].alias("coverage"), best["start"].alias("start_word"), best["end"].alias("end_word"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = "</s>[INST] ok [/INST]"
@@ -95,5 +106,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_nearest, op3_toxicity, op4_sentencepiece, op5_simhash, op7_token_counts, op8_url_filter, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_nearest, op3_toxicity, op4_sentencepiece, op5_simhash, op6_pii, op7_token_counts, op8_url_filter, op9_license_scan, op10_chat_format)}
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
