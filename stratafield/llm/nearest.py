@@ -315,8 +315,20 @@ def _against_all(rows: DataFrame, ids: np.ndarray, asked: np.ndarray, d: int, k:
 
 
 def _merge(found: DataFrame, k: int) -> DataFrame:
-    """(query_id, best): the k best of all that was found for a query, each id once."""
-    pairs = F.arrays_zip(F.transform("scores", lambda s: -s).alias("minus"), F.col("ids").alias("vec_id"))
-    each = found.select("query_id", F.transform(pairs, lambda p: F.struct(p["minus"].alias("minus"), p["vec_id"].alias("vec_id"))).alias("pairs"))
-    best = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pairs")))), 1, k)
-    return each.groupBy("query_id").agg(best.alias("best")).select("query_id", F.transform("best", lambda p: F.struct(p["vec_id"].alias("vec_id"), (-p["minus"]).alias("score"))).alias("best"))
+    """(query_id, best): the k best of all that was found for a query, each id once. A row for each task and query meets."""
+    each = found.groupBy("query_id").agg(F.flatten(F.collect_list("ids")).alias("ids"), F.flatten(F.collect_list("scores")).alias("scores"))
+    best = pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())]))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for ids, scores in zip(batch.column(1), batch.column(2), strict=True):
+                ids, scores = ids.values.to_numpy(), scores.values.to_numpy()
+                order = np.lexsort((ids, -scores))
+                ids, scores = ids[order], scores[order]
+                _, first = np.unique(ids, return_index=True)
+                keep = np.sort(first)[:k]
+                out.append([{"vec_id": i, "score": s} for i, s in zip(ids[keep].tolist(), scores[keep].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, best)], names=["query_id", "best"])
+
+    return each.mapInArrow(run, "query_id long, best array<struct<vec_id: long, score: double>>")
