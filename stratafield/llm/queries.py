@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratafield.llm import chat_format, decontaminate, license_scan, nearest, pii, sentencepiece_codec, simhash, token_counts, toxicity, url_filter
 from stratafield.llm.common import table, tokenizer_path
+from stratafield.llm.oracles import ORACLE_SQL
 
 MODEL = "piece_bpe_32k.model"
 
@@ -18,34 +19,6 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.encode(F.concat_ws(",", ids), "UTF-8"), 256).alias("items_sha256"), "contaminated")
 
 
-OP1_SQL = r"""
-WITH doc AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM documents),
-item AS (
-  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark),
-item_window AS (
-  SELECT DISTINCT item_id, n, list_slice(w, i, i + n - 1) AS win
-  FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
-        FROM (SELECT item_id, w, least(13, len(w)) AS n FROM item WHERE len(w) > 0))),
-doc_window AS (
-  SELECT doc_id, n, i, list_slice(w, i, i + n - 1) AS win
-  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
-        FROM doc, (SELECT DISTINCT n FROM item_window) WHERE len(w) >= n)),
-found AS (SELECT doc_id, n, i, item_id FROM doc_window JOIN item_window USING (n, win)),
-hit AS (
-  SELECT doc_id, count(DISTINCT p) AS n_hit
-  FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, n, i FROM found)) GROUP BY doc_id),
-ids AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS joined
-  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM found) GROUP BY doc_id)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
-"""
-
-
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest.nearest(vectors, F.col("id") % 20 == 0, k=20)
@@ -107,4 +80,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_nearest, op3_toxicity, op4_sentencepiece, op5_simhash, op6_pii, op7_token_counts, op8_url_filter, op9_license_scan, op10_chat_format)}
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL}
+__all__ = ["ORACLE_SQL", "QUERIES"]

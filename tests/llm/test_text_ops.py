@@ -1,0 +1,156 @@
+import hashlib
+import random
+import re
+
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+
+from stratafield.llm import license_scan, pii, sentencepiece_codec, token_counts, toxicity
+from stratafield.llm.common import tokenizer_path
+
+MODEL = tokenizer_path("piece_bpe_32k.model")
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=MODEL)
+
+
+def test_encoding_equals_the_library(edge_docs, library):
+    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(edge_docs, MODEL), MODEL)
+    rows = coded.withColumn("digest", sentencepiece_codec.ids_digest("ids")).collect()
+    assert len(rows) == edge_docs.count() and coded.columns.count("ids") == 1
+    for r in rows:
+        ids = library.encode(r.text or "") + [library.eos_id()]
+        assert r.ids == ids and r.decoded == library.decode(ids) and r.digest == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    assert sentencepiece_codec.encode(edge_docs.limit(0), MODEL).count() == 0
+
+
+def test_small_word_table_is_emptied(library, monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "KEPT_WORDS", 5)
+    table = sentencepiece_codec.WordTable(MODEL)
+    for text in ("a b c d", "e f g h a", "a b  c " * 9):
+        offsets, values = table.encode([text, ""], False)
+        assert values.tolist() == library.encode(text) and offsets.tolist() == [0, len(values), len(values)]
+
+
+def test_counts_equal_the_library(edge_docs, library):
+    counted = token_counts.count_tokens(edge_docs, MODEL, limit=50)
+    for r in counted.collect():
+        n = len(library.encode(r.text or ""))
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((r.text or "").encode()), n, n > 50)
+    assert token_counts.count_tokens(edge_docs.limit(0), MODEL).count() == 0
+
+
+def test_transducer_composes_chunks_of_any_size(library):
+    rng, machine = random.Random(5), token_counts.Transducer.load(MODEL)
+    for _ in range(300):
+        text = "".join(rng.choice(["the", "ing", " ", "  ", "é", "漢", "▁", "x", "\n", "🙂", "tion"]) for _ in range(rng.randint(0, 40)))
+        assert machine.count(text, chunk=rng.randint(1, 20)) == len(library.encode(text)), repr(text)
+    maps = [machine.map_chunk(c) for c in ("▁the", "▁ing▁a", "b", "▁c▁d")]
+    left, right = maps[0], maps[-1]
+    for m in maps[1:]:
+        left = machine.join(left, m)
+    for m in reversed(maps[:-1]):
+        right = machine.join(m, right)
+    assert left == right == machine.scan(maps)[-1]
+
+
+def test_toxicity_learns_folds_and_spares(spark):
+    rng = random.Random(1)
+    clean = [" ".join(rng.choice(["green", "house", "river", "stone", "cloud"]) for _ in range(30)) for _ in range(120)]
+    docs = [(i, t + (" moron scumbag" if i % 3 == 0 else "")) for i, t in enumerate(clean)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)] + [(None, 1), (5, None), (7, 0)], "doc_id long, toxic int")
+    lexicon = toxicity.learn(df, labels)
+    assert lexicon.weights and all(t.startswith(" ") for t in lexicon.weights)
+    shown = spark.createDataFrame([(1, "the river MОR0N stone"), (2, "river stone cloud"), (3, "$cumbag moron!! house"), (4, None), (5, "a river " * 20_000), (6, "moron " * 3)], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(shown, lexicon).collect()}
+    assert got[1].predicted == got[3].predicted == got[6].predicted == 1
+    assert got[2].predicted == got[4].predicted == got[5].predicted == 0
+    assert all(0 <= r.score <= 1 for r in got.values())
+    spared = toxicity.Lexicon(lexicon.weights, lexicon.curve, ("moron lake",))
+    assert spared.matcher()("the moron lake river")[0] == 0 < spared.matcher()("the moron river")[0]
+    assert sorted(r.doc_id for r in toxicity.drop_toxic(shown, lexicon).collect()) == [2, 4, 5]
+    assert toxicity.learn(df.limit(0), labels).weights == {} and toxicity.score(shown.limit(0), lexicon).count() == 0
+
+
+def test_toxicity_of_edge_texts(edge_docs):
+    got = toxicity.score(edge_docs, toxicity.Lexicon({" lorem": 1.0}))
+    assert got.count() == edge_docs.count() and dict(got.dtypes)["score"] == "double"
+
+
+def test_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.learn(docs, labels)).join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).collect()
+    assert toxicity.accuracy([r.predicted for r in scored], [r.toxic for r in scored]) > 0.9
+    assert sum(r.predicted for r in scored if not r.toxic) <= 2
+
+
+VALID = ["4111 1111 1111 1111", "4111-1111-1111-1111", "5500005555555559", "123-45-6789", "+1 (212) 555-0100", "(017) 555-7713", "DE89370400440532013000", "2024-02-29", "31/12/1999", "12/31/1999", "10.0.3.4", "jo.81@mail7.example.com", "04dbebab91ab85687d33eeaaf9ac699e1188f962"]
+OTHERS = ["4111111111111112", "666-45-6789", "DE89370400440532013001", "2023-02-29", "45/45/1999", "300.1.2.3", "127.0.0.1", "version 3.12.4", "CC BY 4.0", "1234567890123456789012", "a@b", "00000000000000"]
+
+
+def test_pseudonyms_keep_format_and_links():
+    for v in VALID:
+        text = f"see {v}, and {v} again"
+        out, spans = pii.pseudonymise_text(text, b"k")
+        assert v not in out and len(spans) == 2 and text[spans[0][1] : spans[0][2]] == v
+        first, second = re.match(r"see (.*), and (.*) again", out).groups()
+        assert first == second
+        if spans[0][0] != "ipv4":
+            assert re.sub(r"[0-9a-f]", "9", first.lower()) == re.sub(r"[0-9a-f]", "9", first.lower()) and len(first) == len(v)
+        assert pii.pseudonymise_text(out, b"k")[1][0][0] == spans[0][0]  # still valid
+        assert pii.pseudonymise_text(out, b"k", undo=True)[0] == text
+        assert pii.pseudonymise_text(text, b"other")[0] != out
+    for v in OTHERS:
+        assert pii.pseudonymise_text(f"see {v} again") == (f"see {v} again", []), v
+    a = pii.pseudonymise_text("4111 1111 1111 1111")[0].replace(" ", "")
+    assert a == pii.pseudonymise_text("4111111111111111")[0]
+
+
+def test_feistel_is_a_permutation():
+    for n in (1, 2, 10, 97, 365):
+        image = [pii.feistel(x, n, b"k", "t") for x in range(n)]
+        assert sorted(image) == list(range(n)) and [pii.feistel(y, n, b"k", "t", undo=True) for y in image] == list(range(n))
+
+
+def test_pii_frame(edge_docs):
+    got = pii.pseudonymise(edge_docs)
+    assert got.columns == [*edge_docs.columns, "pii"]
+    assert sorted((r.doc_id, r.text) for r in got.collect() if r.text) == sorted((r.doc_id, r.text) for r in edge_docs.collect() if r.text)
+    assert got.where("text is null").count() == 1 and pii.pseudonymise(edge_docs.limit(0)).count() == 0
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_alignment_rises_and_is_near_the_longest_common_subsequence():
+    rng = random.Random(2)
+    for _ in range(200):
+        template = [f"w{i}" for i in range(rng.randint(1, 30))]
+        text = [w for w in template if rng.random() > 0.2]
+        for _ in range(rng.randint(0, 10)):
+            text.insert(rng.randint(0, len(text)), f"x{rng.random()}")
+        pairs = license_scan.align(text, template)
+        assert all(text[i] == template[j] for i, j in pairs) and all(a < c and b < d for (a, b), (c, d) in zip(pairs[:-1], pairs[1:], strict=True))
+        assert len(pairs) == lcs(text, template)  # all words are unique
+    assert license_scan.rising([(0, 3), (1, 1), (2, 2), (3, 0), (4, 4)]) == [(1, 1), (2, 2), (4, 4)]
+
+
+def test_license_scan(spark, edge_docs):
+    mit = license_scan.TEMPLATES[3][1]
+    texts = ["foo bar. Licensed under the Apache License, Version 2.0. " * 3, mit.replace("modify, ", "").upper(), "The license of the version was under the apache", mit + " LICENSED under CC BY-NC 4.0!", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: [(x.license, round(x.coverage, 2)) for x in r.licenses] for r in license_scan.scan(df).collect()}
+    assert got[0] == [("Apache-2.0", 1.0)] and got[1] == [("MIT", 0.99)] and got[2] == [] and got[4] == []
+    assert [x[0] for x in got[3]] == ["CC-BY-NC-4.0", "MIT"]
+    assert license_scan.scan(edge_docs).where("size(licenses) > 0").count() == 0
