@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratafield.session import materialize
+
+__all__ = ["append_columns", "lower_ascii", "materialize", "slices", "table", "tokenizer_path"]
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -26,26 +27,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir, or in local mode one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = os.path.join(tempfile.gettempdir(), "stratafield-checkpoints")
-    os.makedirs(folder, exist_ok=True)
-    return folder
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: later plans start there, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/stratafield/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def lower_ascii(column):
     return F.translate(column, _UPPER, _LOWER)
 
