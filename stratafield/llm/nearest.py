@@ -128,6 +128,8 @@ def _search(rows: tuple, queries: tuple, k: int) -> Iterator[tuple[int, list[int
         there = cell < len(names)
         there[there] = names[cell[there]] == wanted[there]
         who, cell = who[there], cell[there]
+        if not len(who):
+            continue
         order = np.argsort(cell, kind="stable")
         who, cell = who[order], cell[order]
         cuts = np.flatnonzero(np.diff(cell, prepend=-1))
