@@ -31,9 +31,16 @@ def candidates(strata: DataFrame, regions: DataFrame, first: int, past: int, see
     return placed.select("stratum_ord", "stratum", "attempt_no", "region_idx", lat.alias("lat"), lon.alias("lon"))
 
 
-def first_of_each(df: DataFrame, group: str, order: str, quota: Column | int) -> DataFrame:
-    """Rows up to a quota in each group, in order."""
+def first_of_each(df: DataFrame, group: str, order: str, quota: Column | int, most: int | None = None) -> DataFrame:
+    """Rows up to a quota in each group, in order.
+
+    most: a number that no quota exceeds. Up to 1000, Spark then keeps only so many rows of a group in each task before
+    it brings a group together.
+    """
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return df.withColumn("__rank", rank).where(F.col("__rank") <= quota).drop("__rank")
+    ranked = df.withColumn("__rank", rank)
+    if most is not None:
+        ranked = ranked.where(F.col("__rank") <= F.lit(most))
+    return ranked.where(F.col("__rank") <= quota).drop("__rank")

@@ -87,15 +87,16 @@ def shape(points: DataFrame, bbox_size_m: float = 256.0) -> DataFrame:
     return points.select("id", round6(F.col("lat")).alias("lat"), round6(F.col("lon")).alias("lon"), "stratum", *[round6(c).alias(n) for n, c in box.items()])
 
 
-def assign_ids(df: DataFrame, order: list[str], name: str = "id", group: str = "stratum_ord") -> DataFrame:
-    """Numbers 1..n in the order of `order`, whose first column is `group`: a rank in each group, plus the sizes of groups before.
+def assign_ids(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
+    """Numbers 1..n in the order of `order`: a place in each range of rows, plus the sizes of the ranges before.
 
-    Only the groups' counts meet in one task.
+    Rows are dealt out by ranges, so no group of them meets in one task; only the ranges' counts do.
     """
     from pyspark.sql import Window
 
-    counts = df.groupBy(group).agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order[1:]))
-    ranked = df.withColumn("__rank", rank).join(before.select(group, "__before"), group)
-    return ranked.withColumn(name, (F.col("__rank") + F.col("__before")).cast("bigint")).drop("__rank", "__before")
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
+    spread = materialize(spread, "ranges").withColumn("__range", F.shiftright("__m", 33))
+    counts = spread.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = counts.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    place = F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    return spread.join(before, "__range").withColumn(name, (place + F.col("__before") + 1).cast("bigint")).drop("__m", "__range", "__before")

@@ -136,7 +136,7 @@ _QUOTA_CUT = f"WITH {STRATA}, ranked AS (SELECT o_orderpriority AS stratum, o_or
 
 def _cut(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("stratum"), F.col("o_orderkey").alias("attempt_no"))
-    return first_of_each(rows.join(strata(spark), "stratum"), "stratum", "attempt_no", F.col("quota"))
+    return first_of_each(rows.join(strata(spark), "stratum"), "stratum", "attempt_no", F.col("quota"), max(q for _, q in QUOTAS))
 
 
 @query(_QUOTA_CUT + " SELECT stratum, count(*) AS n FROM kept GROUP BY stratum")
