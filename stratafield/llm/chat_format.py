@@ -104,7 +104,8 @@ def format_conversations(df: DataFrame, template: Template | None = None, conv_i
 
     Null texts and roles are empty; equal turns are ordered by role, then text; null turns come first; repeated rows
     stay as turns. A conversation whose order of turns the machine refuses is formatted all the same, with valid false
-    and the reason. Other columns do not matter. An empty table gives an empty table.
+    and the reason. Other columns do not matter. An empty table gives an empty table. A conversation's formatted text is
+    one value, so its turns meet in one task.
     """
     template = template or Template()
     named = df.select(F.col(f"`{conv_id}`").alias("conv_id"), F.struct(F.col(f"`{turn}`").alias("t"), F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("r"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("x")).alias("said"))

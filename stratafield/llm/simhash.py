@@ -285,7 +285,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """One document of each component: the one with the smallest id; without any id, one row of each fingerprint's text.
 
-    Rows that repeat the id of a kept document go too.
+    Rows that repeat the id of a kept document go too; rows of one id are taken to be one document.
     """
     found = materialize(components(docs, doc_id=doc_id, **options), "document-components")
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()

@@ -128,9 +128,9 @@ def held_out(doc_id):
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = 6000, most_terms: int = 1500, least_docs: int = 5, least_odds: float = 4.0) -> Lexicon:
     """Lexicon from labelled rows that are not held out, at most `most_rows` of them (by a hash of the id).
 
-    Rows without a label, id or text are not learnt from. Without toxic or without clean rows the lexicon is empty.
+    Rows without a label, id or text are not learnt from; of several labels of one id the largest counts. Without toxic or without clean rows the lexicon is empty.
     """
-    known = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).dropna().where(~held_out(F.col("id"))).dropDuplicates(["id"])
+    known = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).dropna().where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(most_rows)
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).dropna().join(F.broadcast(chosen), "id").select("text", "y")  # at most most_rows
 
