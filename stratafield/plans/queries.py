@@ -14,7 +14,7 @@ from stratafield.functions.geo import between, bounding_box, round6, tile_key, u
 from stratafield.operators import land, pixels, quality, spacing
 from stratafield.operators.candidates import first_of_each, pick_region
 from stratafield.operators.sampler import assign_ids, sample, shape
-from stratafield.session import shared_folder
+from stratafield.session import own_folder
 from stratafield.sources import points as sink
 from stratafield.sources import remote
 from stratafield.sources.catalogue import strata_frame
@@ -297,7 +297,7 @@ def csv_roundtrip(spark, sf_dir):
     import uuid
 
     nation = table(spark, sf_dir, "nation")
-    path = f"{shared_folder(spark)}/stratafield/{uuid.uuid4().hex}-nation.csv"
+    path = f"{own_folder(spark)}/{uuid.uuid4().hex}-nation.csv"
     sink.save_csv(nation, path, files=1)
     return sink.read_csv(spark, path, "n_nationkey int, n_name string, n_regionkey int")
 

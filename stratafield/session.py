@@ -46,8 +46,19 @@ def shared_folder(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "stratafield-checkpoints")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_folder(spark)}/stratafield/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back, to cut its lineage."""
-    path = f"{shared_folder(df.sparkSession)}/stratafield/{uuid.uuid4().hex}-{name}"
+    """Write df to the shared folder and read it back: plans start there, and a lost executor costs nothing before it."""
+    path = f"{own_folder(df.sparkSession)}/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has put into the shared folder; frames that were built on it can't be read after that."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -10,9 +10,10 @@ sys.path.insert(0, ROOT)
 
 @pytest.fixture(scope="session")
 def spark():
-    from stratafield.session import local_session, ship
+    from stratafield.session import clear, local_session, ship
 
     session = local_session("4", 4, **{"spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")
     ship(session)
     yield session
+    clear(session)
