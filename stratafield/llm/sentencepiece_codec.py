@@ -130,7 +130,9 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decode
         library = WordTable.load(model_path).library
 
         def work(column: pa.Array) -> list[pa.Array]:
-            return [pa.array([library.decode(x) if x else "" for x in column.to_pylist()], pa.string())]
+            flat = column.flatten().to_numpy(zero_copy_only=False).tolist()
+            ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+            return [pa.array([library.decode(flat[a:z]) if z > a else "" for a, z in zip([0, *ends[:-1]], ends, strict=True)], pa.string())]
 
         return work
 
