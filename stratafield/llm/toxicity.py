@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratafield.llm.common import append_columns
+from stratafield.llm.common import append_columns, slices
 
 #: Letters of other scripts that look like Latin ones, and signs that are used for letters.
 HOMOGLYPHS = dict(zip("авекмнорстухіјѕԁһӏԛԝαβεικνορτυχ", "abekmhopctyxijsdhlqwabeikvoptux", strict=True))
@@ -125,7 +125,7 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = 6000, most_terms: int = 1500, least_docs: int = 5, least_odds: float = 4.0) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = 20_000, most_terms: int = 1500, least_docs: int = 5, least_odds: float = 4.0) -> Lexicon:
     """Lexicon from labelled rows that are not held out, at most `most_rows` of them (by a hash of the id).
 
     Rows without a label, id or text are not learnt from; of several labels of one id the largest counts. Without toxic or without clean rows the lexicon is empty.
@@ -135,7 +135,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).dropna().join(F.broadcast(chosen), "id").select("text", "y")  # at most most_rows
 
     def split(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1 << 20)):
             seen = (Counter(), Counter())
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[y > 0].update(terms_of(t) | {""})
@@ -161,7 +161,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             found = [match(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.int64()), batch.column(1)], names=["w", "n", "y"])
 
-    sample = rows.mapInArrow(weigh, "w double, n long, y int").orderBy("w", "n", "y").toPandas()  # at most most_rows
+    sample = rows.mapInArrow(weigh, "w double, n long, y int").toPandas().sort_values(["w", "n", "y"])  # at most most_rows
     return Lexicon(lexicon.weights, fit_curve(shape(sample.w, sample.n), sample.y.to_numpy(float)))
 
 
