@@ -61,10 +61,10 @@ def terms_of(text: str, shortest: int = 4, longest: int = 10) -> set[str]:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """weights: term -> log odds; curve: constant, factor of log weight, factor of log weight by length."""
+    """weights: term -> log odds; curve: factors of the columns of `shape`."""
 
     weights: dict[str, float]
-    curve: tuple[float, float, float] = (-4.0, 1.0, 0.0)
+    curve: tuple[float, ...] = (-4.0, 1.0, 0.0, 0.0)
     exceptions: tuple[str, ...] = EXCEPTIONS
 
     def matcher(self):
@@ -103,11 +103,14 @@ class Lexicon:
 
 
 def shape(weight, words) -> np.ndarray:
-    weight, words = np.maximum(np.asarray(weight, float), 0), np.asarray(words, float)
-    return np.stack([np.ones_like(weight), np.log1p(weight), np.log((weight + 0.05) / (words + 20))], axis=-1)
+    """Constant, log weight, log weight by length, and their product; without weight the length does not count."""
+    weight = np.maximum(np.asarray(weight, float), 0)
+    words = np.where(weight > 0, np.asarray(words, float), 0)
+    total, share = np.log1p(weight), np.log((weight + 0.05) / (words + 20))
+    return np.stack([np.ones_like(total), total, share, total * share], axis=-1)
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> tuple[float, float, float]:
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> tuple[float, ...]:
     """Logistic regression by Newton's method."""
     b = np.zeros(x.shape[1])
     for _ in range(rounds):
@@ -125,10 +128,12 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = 20_000, most_terms: int = 1500, least_docs: int = 5, least_odds: float = 4.0) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = 20_000, most_terms: int = 1500, least_docs: int = 5, least_share: float = 0.01, least_odds: float = 8.0) -> Lexicon:
     """Lexicon from labelled rows that are not held out, at most `most_rows` of them (by a hash of the id).
 
-    Rows without a label, id or text are not learnt from; of several labels of one id the largest counts. Without toxic or without clean rows the lexicon is empty.
+    A term is in `least_docs` toxic documents and in a share of them at least, and `least_odds` times likelier there.
+    Rows without a label, id or text are not learnt from; of several labels of one id the largest counts. Without toxic
+    or without clean rows the lexicon is empty.
     """
     known = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).dropna().where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(most_rows)
@@ -148,7 +153,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return Lexicon({})
     n1, n0 = all_rows.a, all_rows.b
     odds = F.log((F.col("a") + 0.5) / (n1 + 1.0)) - F.log((F.col("b") + 0.5) / (n0 + 1.0))
-    best = counts.where((F.col("term") != "") & (F.col("a") >= least_docs)).withColumn("w", odds).where(F.col("w") >= math.log(least_odds))
+    best = counts.where((F.col("term") != "") & (F.col("a") >= max(least_docs, least_share * n1))).withColumn("w", odds).where(F.col("w") >= math.log(least_odds))
     # Of a word start and a longer term that is in nearly the same toxic documents, the longer one says more.
     best = best.orderBy(F.desc(F.col("a") * F.col("w")), "term").limit(most_terms)
     found = {r.term: (r.a, r.w) for r in best.toLocalIterator()}
