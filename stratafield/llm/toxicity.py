@@ -143,17 +143,16 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         for batch in (part for whole in batches for part in slices(whole, 1 << 20)):
             seen = (Counter(), Counter())
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[y > 0].update(terms_of(t) | {""})
+                seen[y > 0].update(terms_of(t))
             terms = list(seen[0] | seen[1])
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[pa.array([n[t] for t in terms], pa.int64()) for n in seen]], names=["term", "b", "a"])
 
     counts = rows.mapInArrow(split, "term string, b long, a long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    all_rows = counts.where("term = ''").first()
-    if not all_rows or not all_rows.a or not all_rows.b:
+    n1, n0 = rows.agg(F.count(F.when(F.col("y") > 0, 1)), F.count(F.when(F.col("y") <= 0, 1))).first()
+    if not n1 or not n0:
         return Lexicon({})
-    n1, n0 = all_rows.a, all_rows.b
     odds = F.log((F.col("a") + 0.5) / (n1 + 1.0)) - F.log((F.col("b") + 0.5) / (n0 + 1.0))
-    best = counts.where((F.col("term") != "") & (F.col("a") >= max(least_docs, least_share * n1))).withColumn("w", odds).where(F.col("w") >= math.log(least_odds))
+    best = counts.where(F.col("a") >= max(least_docs, least_share * n1)).withColumn("w", odds).where(F.col("w") >= math.log(least_odds))
     # Of a word start and a longer term that is in nearly the same toxic documents, the longer one says more.
     best = best.orderBy(F.desc(F.col("a") * F.col("w")), "term").limit(most_terms)
     found = {r.term: (r.a, r.w) for r in best.toLocalIterator()}
