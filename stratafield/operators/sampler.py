@@ -2,15 +2,17 @@
 
 A stratum takes its candidates in draw order: on land, and no taken point of any stratum under the spacing away. In
 one batch of draws that is the first maximal independent set of the conflict graph in draw order: who has no earlier
-neighbour left is taken, who has a taken earlier neighbour is out, until none is undecided (Blelloch, Fineman and Shun,
-2012). The quota's cut comes after it, for taking depends on earlier draws alone. Strata follow each other, since a cut
+neighbour left is taken, who has a taken earlier neighbour is out, until few are undecided (Blelloch, Fineman and Shun,
+2012); those few, of a fixed number at most, are decided in order by one task. The quota's cut comes after it, for taking depends on earlier draws alone. Strata follow each other, since a cut
 changes what blocks the next one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,16 +22,35 @@ from stratafield.session import materialize
 from stratafield.sources.points import POINT_SCHEMA
 
 
-def first_independent(points: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """Points of the first maximal independent set; edges are (earlier, later)."""
-    edges = materialize(edges, "conflicts")
+#: Edges (earlier, later) that one task decides in order, 16 bytes each; beyond that, all tasks decide in rounds.
+FEW_EDGES = 200_000
+
+
+def _refuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges in one task: who is refused, in order of the later point."""
+    earlier: dict[int, list[int]] = defaultdict(list)
+    for batch in batches:
+        for e, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            earlier[k].append(e)
+    out: set[int] = set()
+    for k in sorted(earlier):
+        if any(e not in out for e in earlier[k]):
+            out.add(k)
+    yield pa.RecordBatch.from_arrays([pa.array(sorted(out), pa.int64())], names=["later"])
+
+
+def first_independent(points: DataFrame, edges: DataFrame, key: str, few: int = FEW_EDGES) -> DataFrame:
+    """Points of the first maximal independent set; edges are (earlier, later), of long keys."""
+    edges = materialize(edges.select("earlier", "later"), "conflicts")
     out: list[DataFrame] = []
-    while edges.take(1):
+    while (left := edges.count()) > few:
         taken = edges.select(F.col("earlier").alias("k")).join(edges.select(F.col("later").alias("k")), "k", "left_anti").distinct()
         refused = materialize(edges.join(taken.withColumnRenamed("k", "earlier"), "earlier", "left_semi").select("later").distinct(), "refused")
         out.append(refused)
         edges = edges.join(refused, "later", "left_anti").join(refused.withColumnRenamed("later", "earlier"), "earlier", "left_anti")
         edges = materialize(edges, "undecided")
+    if left:
+        out.append(edges.repartition(1).mapInArrow(_refuse, "later long"))
     for refused in out:
         points = points.join(refused.withColumnRenamed("later", key), key, "left_anti")
     return points
@@ -38,7 +59,7 @@ def first_independent(points: DataFrame, edges: DataFrame, key: str) -> DataFram
 def fill_stratum(draw: Callable[[int, int], DataFrame], quota: int, accepted: DataFrame, spacing_km: float, max_abs_lat: float, on_land: Callable[[DataFrame], DataFrame] | None = None, attempts: int | None = None, batch: int | None = None) -> tuple[DataFrame, int]:
     """(taken points, how many). draw(first, past): candidates (attempt_no, lat, lon) of those attempts; accepted: rounded lat and lon."""
     attempts = quota * 150 if attempts is None else attempts
-    have, first, step = 0, 0, batch or max(64, 2 * quota)
+    have, first, step = 0, 0, batch or max(256, 4 * quota)
     taken: DataFrame | None = None
     while have < quota and first < attempts:
         past = min(attempts, first + step)
@@ -51,7 +72,7 @@ def fill_stratum(draw: Callable[[int, int], DataFrame], quota: int, accepted: Da
         chosen = materialize(chosen.orderBy("attempt_no").limit(quota - have), "taken")
         have += chosen.count()
         taken = chosen if taken is None else taken.unionByName(chosen)
-        first, step = past, step * 2
+        first, step = past, step * 4
     if taken is None:
         taken = draw(0, 0).limit(0)
     return taken, have

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from stratafield.operators import sampler
 from stratafield.operators.sampler import sample
 from stratafield.plans.pipeline import generate_points, summary
 from stratafield.sources.catalogue import SamplingParameters, strata_frame
@@ -28,8 +29,9 @@ def loop(draws, spacing, on_land):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_equals_the_loop(spark, seed):
+@pytest.mark.parametrize("seed,few", [(0, 0), (1, 0), (1, 200_000), (2, 5)])
+def test_equals_the_loop(spark, seed, few, monkeypatch):
+    monkeypatch.setattr(sampler.first_independent, "__defaults__", (few,))
     rng = random.Random(seed)
     draws = []
     for k in range(3):
