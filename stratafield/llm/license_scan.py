@@ -1,6 +1,6 @@
 """License scan: patience alignment of license templates with windows of a text.
 
-A window is where runs of template words occur. Words that are unique to both the window and the template are anchors;
+Windows start at runs of template words and overlap. Words that are unique to both the window and the template are anchors;
 the longest run of them that rises in both is kept, and the gaps between kept anchors are aligned in the same way, where
 further words are unique. Where a gap has no such words, equal words at its ends are matched. Coverage is the share of
 the template's words that are matched. A text is passed over only if it lacks so many template words that no alignment
@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -93,27 +94,49 @@ class Template:
     def can_reach(self, present, least: float) -> bool:
         return sum(n for w, n in self.counts.items() if w in present) >= least * len(self.words)
 
-    def windows(self, words: list[str]) -> list[tuple[int, int]]:
-        """Stretches of a text around runs of template words; runs closer than half a template are of one stretch."""
+    def windows(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
+        """(from, to, most) of stretches at runs of template words; most: template words that are there in any order.
+
+        They overlap, so no other run cuts a notice short. They come in three widths: the close ones have the fewest
+        words that are not the notice's, the wide ones hold a notice with as many words put in as it has. A run less
+        than `step` words after one that has a stretch is in that one's, which is so much longer; close stretches also
+        start where words begin to agree.
+        """
         n, k = len(self.words), self.run
         firsts = {r[0] for r in self.runs}
         at = [i for i, w in enumerate(words) if w in firsts and tuple(words[i : i + k]) in self.runs]
-        out: list[list[int]] = []
-        for i in at:
-            if out and i - out[-1][1] <= max(2, n // 2) and i + k - out[-1][0] <= 2 * n:
-                out[-1][1] = i + k
-            else:
-                out.append([i, i + k])
-        spare = n // 2 + 1
-        return [(max(0, a - spare, out[j - 1][1] if j else 0), min(len(words), z + spare, out[j + 1][0] if j + 1 < len(out) else len(words))) for j, (a, z) in enumerate(out)]
-
-    def best(self, words: list[str]) -> tuple[float, int, int]:
-        """Coverage and span of words of the best window; the first of equally good ones."""
+        spare, step = n // 2 + 1, max(1, n // 8)
+        for before, after, close in ((0, n + n // 4, True), (spare, n + spare, False), (spare, 2 * n + spare, False)):
+            inside: Counter = Counter()
+            a = z = most = 0
+            last, run = -step, -2
+            for i in at:
+                begins, run = i > run + 1, i
+                if i - last < step and not (close and begins):
+                    continue
+                last = i
+                for w in words[z : i + after + step]:
+                    inside[w] += 1
+                    most += inside[w] <= self.counts.get(w, 0)
+                z = min(len(words), i + after + step)
+                for w in words[a : max(a, i - before)]:
+                    most -= inside[w] <= self.counts.get(w, 0)
+                    inside[w] -= 1
+                a = max(a, i - before)
+                yield a, z, most
+
+    def best(self, words: list[str], least: float = 0.0) -> tuple[float, int, int]:
+        """Coverage and span of words of the best window; windows that can't reach `least` or more than the best so far are passed over."""
+        n = len(self.words)
         top = (0.0, 0, 0)
-        for a, z in self.windows(words):
+        for a, z, most in self.windows(words):
+            if most / n < least or most / n <= top[0]:
+                continue
             pairs = align(words[a:z], self.words)
-            if pairs and len(pairs) / len(self.words) > top[0]:
-                top = (len(pairs) / len(self.words), a + pairs[0][0], a + pairs[-1][0] + 1)
+            if pairs and len(pairs) / n > top[0]:
+                top = (len(pairs) / n, a + pairs[0][0], a + pairs[-1][0] + 1)
+            if top[0] == 1:
+                break
         return top
 
 
@@ -127,7 +150,7 @@ class Scanner:
         present, found = set(words), {}
         for t in self.templates:
             if t.can_reach(present, self.least):
-                coverage, a, z = t.best(words)
+                coverage, a, z = t.best(words, self.least)
                 if coverage >= self.least and (t.license not in found or coverage > found[t.license][0]):
                     found[t.license] = (coverage, a, z)
         return sorted(((k, *v) for k, v in found.items()), key=lambda x: (-x[1], x[0]))

@@ -154,3 +154,21 @@ def test_license_scan(spark, edge_docs):
     assert got[0] == [("Apache-2.0", 1.0)] and got[1] == [("MIT", 0.99)] and got[2] == [] and got[4] == []
     assert [x[0] for x in got[3]] == ["CC-BY-NC-4.0", "MIT"]
     assert license_scan.scan(edge_docs).where("size(licenses) > 0").count() == 0
+
+
+def test_license_notices_amid_prose():
+    """Words of everyday runs of a template before and after a notice do not cut it."""
+    rng = random.Random(6)
+    phrases = ["of the", "in the", "to the", "and to", "to do", "to use", "of this", "house", "river", "is a", "we had", "for any person"]
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, 0.8)
+    for name, notice in (license_scan.TEMPLATES[1], license_scan.TEMPLATES[3]):
+        size = len(license_scan.words_of(notice))
+        for at in range(0, 400, 10):
+            prose = " ".join(rng.choice(phrases) for _ in range(400)).split(" ")
+            found = {k: v for k, *v in scanner.scan(" ".join([*prose[:at], notice, *prose[at:]]))}
+            assert found[name][0] == 1.0
+            if name == "MIT":
+                assert found[name] == [1.0, at, at + size]
+    mit = license_scan.words_of(license_scan.TEMPLATES[3][1])
+    spread = [w for i, m in enumerate(mit) for w in ([m, f"x{i}"] if i % 3 else [m])]
+    assert [x[:2] for x in scanner.scan(" ".join(["of the house"] * 20 + spread + ["of the"] * 20))] == [("MIT", 1.0)]
