@@ -4,7 +4,7 @@ Vectors are scaled by the largest norm and given one more component that makes t
 zero there; then the largest inner product is the smallest distance. A table hashes `hashes` Gaussian projections into
 cells of `width`. A query visits its own cell and perturbed ones, in the order in which they are expected to hold
 neighbours: its distances to cell borders are sorted, and sets of borders are crossed in the order of their expected
-sum of squares. Cells are dealt into shards, hot shards are cut into slices by id, and a shard's task scores the rows
+sum of squares. Cells are dealt into shards, hot shards are cut into slices by row, and a shard's task scores the rows
 of the visited cells in double precision and keeps each query's best; these are merged over tables and slices. How
 many cells are visited is fitted against brute force on a bounded sample of rows.
 """
@@ -100,16 +100,34 @@ def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimension)
 
 
-def best_of(ids: np.ndarray, vectors: np.ndarray, own: int, query: np.ndarray, scores: np.ndarray, k: int) -> tuple[list[int], list[float]]:
-    """The k nearest of some rows; ties go to smaller ids. Final scores are summed in one order for every row."""
-    if len(scores) > k + 1:
-        least = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
+def contenders(ids: np.ndarray, scores: np.ndarray, own: int, k: int) -> np.ndarray:
+    """Places of the best rows, as many as it takes to have k ids besides `own`, or all rows if there are no more ids."""
+    m = k + 1
+    while m < len(scores):
+        least = np.partition(scores, len(scores) - m)[len(scores) - m]
         near = np.flatnonzero(scores >= least - 1e-9 * max(1.0, abs(least)))
-        ids, vectors = ids[near], vectors[near]
+        found = set(ids[near].tolist())
+        if len(found) - (own in found) >= k:
+            return near
+        m *= 4
+    return np.arange(len(scores))
+
+
+def first_of_each(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best ids, each id's best row only; ties go to smaller ids."""
+    order = np.lexsort((ids, -scores))
+    _, first = np.unique(ids[order], return_index=True)
+    return order[np.sort(first)[:k]]
+
+
+def best_of(ids: np.ndarray, vectors: np.ndarray, own: int, query: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, vectors and scores of the k nearest ids of some rows. Final scores are summed in one order for every row."""
+    near = contenders(ids, scores, own, k)
+    near = near[ids[near] != own]
+    ids, vectors = ids[near], vectors[near]
     exact = (vectors * query).sum(axis=1)
-    order = np.lexsort((ids, -exact))
-    order = order[ids[order] != own][:k]
-    return ids[order].tolist(), exact[order].tolist()
+    keep = first_of_each(ids, exact, k)
+    return ids[keep], vectors[keep], exact[keep]
 
 
 def _search(rows: tuple, queries: tuple, k: int) -> Iterator[tuple[int, list[int], list[float]]]:
@@ -143,11 +161,10 @@ def _search(rows: tuple, queries: tuple, k: int) -> Iterator[tuple[int, list[int
             if parts:
                 found = np.concatenate([np.arange(f, e) for f, e, _ in parts])
                 scores = np.concatenate([s for *_, s in parts])
-                if len(scores) > k + 1:
-                    least = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
-                    near = scores >= least - 1e-9 * max(1.0, abs(least))
-                    found, scores = found[near], scores[near]
-                yield (int(own[at + q]), *best_of(ids[found], vectors[found], int(own[at + q]), asked[at + q], scores, k))
+                near = contenders(ids[found], scores, int(own[at + q]), k)
+                found, scores = found[near], scores[near]
+                best, _, exact = best_of(ids[found], vectors[found], int(own[at + q]), asked[at + q], scores, k)
+                yield int(own[at + q]), best.tolist(), exact.tolist()
 
 
 _FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("scores", T.ArrayType(T.DoubleType()))])
@@ -213,11 +230,11 @@ def fit(index: Index, sample: np.ndarray, k: int, target: float, queries: int =
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """(id, vector, norm) of rows that take part."""
+    """(id, vector, norm) of rows that take part; equal rows are one."""
     v = F.col(f"`{embedding}`")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("id"), v.cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & v.isNotNull() & finite)
-    return rows.withColumn("norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))).where("norm > 0")
+    return rows.withColumn("norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))).where("norm > 0").distinct()
 
 
 def nearest(vectors: DataFrame, asks, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int = 8192, sample_rows: int = 8192, target: float = 0.95) -> DataFrame:
@@ -225,11 +242,11 @@ def nearest(vectors: DataFrame, asks, k: int = 20, vec_id: str = "vec_id", embed
 
     Null vectors, zero vectors, vectors with null or non-finite components, rows with a null id and rows of another
     length than most take no part. Ties go to the smaller id. Repeated rows of an id count once and never as their own
-    neighbour. A query that finds fewer than k is searched again against every row. An empty table gives no rows. Other
+    neighbour: equal rows are made one first, and of rows that differ the best counts. A query that finds fewer than k is searched again against every row. An empty table gives no rows. Other
     columns do not matter.
     """
     spark = vectors.sparkSession
-    rows = usable(vectors, vec_id, embedding)
+    rows = materialize(usable(vectors, vec_id, embedding), "usable-vectors")
     result = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
     sizes = rows.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"), F.max("norm").alias("top")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not sizes:
@@ -272,7 +289,7 @@ def nearest(vectors: DataFrame, asks, k: int = 20, vec_id: str = "vec_id", embed
     cuts = stored.groupBy("t", "s").agg(F.count("*").alias("n")).where(F.col("n") > shard_rows).select("t", "s", F.ceil(F.col("n") / shard_rows).cast("int").alias("slices"))
     cuts = materialize(cuts, "large-shards")
     slices = F.coalesce("slices", F.lit(1))
-    stored = stored.join(cuts, ["t", "s"], "left").withColumn("slice", F.pmod(F.xxhash64("id"), slices.cast("long")).cast("int")).withColumn("asks", F.lit(0))
+    stored = stored.join(cuts, ["t", "s"], "left").withColumn("slice", F.pmod(F.xxhash64("id", "vector"), slices.cast("long")).cast("int")).withColumn("asks", F.lit(0))
     queries = queries.join(cuts, ["t", "s"], "left").withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).withColumn("asks", F.lit(1))
     order = ["t", "s", "slice", "asks"]
     columns = [*order, "id", "vector", "cells"]
@@ -305,11 +322,9 @@ def _against_all(rows: DataFrame, ids: np.ndarray, asked: np.ndarray, d: int, k:
                 mine, vectors = batch.column(0).to_numpy(), _matrix(batch.column(1), d)
                 scores = asked @ vectors.T
                 for q in range(len(ids)):
-                    near = np.argsort(-scores[q], kind="stable")[: k + 1]
-                    near = np.flatnonzero(scores[q] >= scores[q][near[-1]] - 1e-9)
-                    i, v = np.concatenate([best[q][0], mine[near]]), np.concatenate([best[q][1], vectors[near]])
-                    keep = np.lexsort((i, -(v * asked[q]).sum(axis=1)))
-                    keep = keep[i[keep] != ids[q]][:k]
+                    i, v, _ = best_of(mine, vectors, int(ids[q]), asked[q], scores[q], k)
+                    i, v = np.concatenate([best[q][0], i]), np.concatenate([best[q][1], v])
+                    keep = first_of_each(i, (v * asked[q]).sum(axis=1), k)
                     best[q] = (i[keep], v[keep])
         yield _found_batch([(int(q), i.tolist(), (v * a).sum(axis=1).tolist()) for q, a, (i, v) in zip(ids, asked, best, strict=True)])
 
@@ -326,10 +341,7 @@ def _merge(found: DataFrame, k: int) -> DataFrame:
             out = []
             for ids, scores in zip(batch.column(1), batch.column(2), strict=True):
                 ids, scores = ids.values.to_numpy(), scores.values.to_numpy()
-                order = np.lexsort((ids, -scores))
-                ids, scores = ids[order], scores[order]
-                _, first = np.unique(ids, return_index=True)
-                keep = np.sort(first)[:k]
+                keep = first_of_each(ids, scores, k)
                 out.append([{"vec_id": i, "score": s} for i, s in zip(ids[keep].tolist(), scores[keep].tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, best)], names=["query_id", "best"])
 

@@ -150,6 +150,39 @@ def test_nearest_finds_nearly_all(spark):
     assert tied and tied == list(range(101, 101 + len(tied)))
 
 
+def test_repeated_ids_take_no_places():
+    """More copies of a neighbour, or of the query itself, than there are places."""
+    rng = np.random.default_rng(8)
+    v, k = rng.normal(size=(300, 8)), 20
+    ids = np.arange(300)
+    want = np.lexsort((ids[1:], -(v[1:] @ v[0])))[:k] + 1
+    for many in (ids[:1], want[:1], want[:3]):
+        i, w = np.concatenate([ids, np.repeat(many, 400)]), np.concatenate([v, np.repeat(v[many], 400, axis=0)])
+        got, _, scores = nearest.best_of(i, w, 0, v[0], w @ v[0], k)
+        assert got.tolist() == want.tolist() and np.allclose(scores, v[want] @ v[0])
+
+
+@pytest.mark.parametrize("differ", [0.0, 1e-3])
+def test_nearest_with_repeated_ids(spark, differ):
+    """Exact where a query visits few others than its copies: it is searched against every row."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(80, 8))
+    v[1:4] = v[0] + rng.normal(size=(3, 8)) * 0.01
+    rows = [(i, r.tolist()) for i, r in enumerate(v)] + [(i, (v[i] * (1 + differ * n / 60)).tolist()) for i in (0, 1, 20) for n in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest.nearest(df, F.col("id") % 20 == 0, k=5, target=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for q in (0, 20, 40, 60):
+        best = {}
+        for own in (x for i, x in rows if i == q):
+            for j, w in rows:
+                if j != q:
+                    best[j] = max(best.get(j, -np.inf), float(np.dot(own, w)))
+        want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]
+        assert [j for j, _ in got[q]] == [j for j, _ in want] and np.allclose([s for _, s in got[q]], [s for _, s in want])
+
+
 def test_nearest_of_few_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (3, [0.5, 0.5]), (2, [0.5, 0.5]), (20, [-1.0, 0.0])], schema)
