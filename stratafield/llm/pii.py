@@ -112,21 +112,39 @@ def _ssn(s: str, key: bytes, undo: bool) -> str | None:
     return _spread(s, _walk(core, valid_ssn, key, "ssn", undo)) if valid_ssn(core) else None
 
 
+def _dialled(s: str, at: int, key: bytes, undo: bool) -> str:
+    """The digits from `at` vary. Numbers of ten digits that can be dialled stay so, others stay others."""
+    core = _core(s[at:])
+
+    def known(x: str) -> bool:
+        return len(x) == 10 and x[0] in "23456789" and x[3] in "23456789"
+
+    return s[:at] + _spread(s[at:], _walk(core, lambda x: known(x) == known(core), key, "phone", undo))
+
+
 def _phone(s: str, key: bytes, undo: bool) -> str | None:
     """The last ten digits vary; a country code stays."""
-    at = [i for i, c in enumerate(s) if c.isdigit()][-10]
-    core = _core(s[at:])
-    known = core[0] in "23456789" and core[3] in "23456789"  # numbers that can be dialled stay so, others stay others
-    return s[:at] + _spread(s[at:], _walk(core, lambda x: (x[0] in "23456789" and x[3] in "23456789") == known, key, "phone", undo))
+    return _dialled(s, [i for i, c in enumerate(s) if c.isdigit()][-10], key, undo)
+
+
+def _international(s: str, key: bytes, undo: bool) -> str | None:
+    """All digits after the country code vary."""
+    code = len(_COUNTRY_CODE.match(_core(s))[0])
+    return _dialled(s, [i for i, c in enumerate(s) if c.isdigit()][code], key, undo)
 
 
 def _iban(s: str, key: bytes, undo: bool) -> str | None:
     core = _core(s).upper()
     if not valid_iban(core):
         return None
-    account = permute_text(core[4:], key, "iban" + core[:2], undo)
-    check = 98 - int("".join(str(int(c, 36)) for c in account + core[:2] + "00")) % 97
-    return _spread(s, f"{core[:2]}{check:02d}{account}")
+    size = IBAN_LENGTHS.get(core[:2], len(core))
+    begins = size < len(core) and valid_iban(core[:size])
+    out = core
+    while out is core or size < len(core) and valid_iban(out[:size]) != begins:  # a longer number does not come to begin with an IBAN of its country's length
+        account = permute_text(out[4:], key, "iban" + core[:2], undo)
+        check = 98 - int("".join(str(int(c, 36)) for c in account + core[:2] + "00")) % 97
+        out = f"{core[:2]}{check:02d}{account}"
+    return _spread(s, out)
 
 
 def _ipv4(s: str, key: bytes, undo: bool) -> str | None:
@@ -146,7 +164,7 @@ def _email(s: str, key: bytes, undo: bool) -> str | None:
 
 
 def _date(s: str, key: bytes, undo: bool) -> str | None:
-    """Years 1900 to 2099. Year first, or day and month (month and day where only that is a date) and year last."""
+    """Years 1900 to 2099. Year first, or day and month (month and day where only that is a date) and year last. One digit stays one."""
     parts = re.split(r"[-./]", s)
     orders = ((0, 1, 2),) if len(parts[0]) == 4 else ((2, 1, 0), (2, 0, 1))
     for order in orders:
@@ -162,12 +180,12 @@ def _date(s: str, key: bytes, undo: bool) -> str | None:
     while True:
         n = feistel(n, _DAYS, key, "date", undo)
         new = _DAY_ONE + timedelta(n)
+        values = dict(zip(order, (new.year, new.month, new.day), strict=True))
         if order != (2, 0, 1) or new.day > 12:  # else it would read as day and month
-            if order != (2, 1, 0) or new.month <= 12:
+            if all(len(str(values[i])) <= len(p) for i, p in enumerate(parts)):
                 break
-    values = dict(zip(order, (new.year, new.month, new.day), strict=True))
     marks = re.findall(r"[-./]", s)
-    text = [f"{values[i]:04d}" if len(p) == 4 else f"{values[i]:02d}" for i, p in enumerate(parts)]
+    text = [f"{values[i]:0{len(p)}d}" for i, p in enumerate(parts)]
     return text[0] + marks[0] + text[1] + marks[1] + text[2]
 
 
@@ -188,15 +206,21 @@ class Kind:
 
 
 _D = "0123456789"
+#: Letters and digits of an IBAN, by country.
+IBAN_LENGTHS = {c: n for n, cs in {15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in cs.split()}
+_IBAN_SHAPES = "|".join("(?:" + "|".join(c for c in IBAN_LENGTHS if IBAN_LENGTHS[c] == n) + ")[0-9]{2}(?: ?[0-9A-Z]{4}){" + str((n - 4) // 4) + "}" + (" ?[0-9A-Z]{" + str(n % 4) + "}") * (n % 4 > 0) for n in sorted(set(IBAN_LENGTHS.values())))
+_COUNTRY_CODE = re.compile("1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2}")
 #: In order of precedence where matches overlap.
 KINDS = (
     Kind("email", "@", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"), _email),
     Kind("secret", _D, re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"), _secret),
+    Kind("iban", _D, re.compile(rf"(?<![0-9A-Za-z])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN_SHAPES})(?![0-9A-Za-z])"), _iban),
     Kind("iban", _D, re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"), _iban),
     Kind("phone", _D, re.compile(r"(?<![0-9A-Za-z(+])(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-. ][0-9]{4}(?![0-9A-Za-z])"), _phone),
+    Kind("phone", "+", re.compile(r"(?<![0-9A-Za-z+])\+(?:1(?:[ .-]?[0-9]){10}|[2-9](?:[ .-]?[0-9]){7,14}|[2-9][0-9]{0,2} ?\([0-9]{1,4}\)(?:[ .-]?[0-9]){5,10})(?![0-9A-Za-z])"), _international),
     Kind("card", _D, re.compile(r"(?<![0-9A-Za-z])(?<![0-9][.,-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])(?![.,-][0-9])"), _card),
     Kind("ssn", _D, re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"), _ssn),
-    Kind("date", _D, re.compile(r"(?<![0-9A-Za-z./-])(?:[12][0-9]{3}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./-])[0-9]{2}\1[12][0-9]{3})(?![0-9A-Za-z/-])"), _date),
+    Kind("date", _D, re.compile(r"(?<![0-9A-Za-z./-])(?:[12][0-9]{3}([-./])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([./-])[0-9]{1,2}\2[12][0-9]{3})(?:(?![0-9A-Za-z/-])|(?=[Tt][0-9]{2}))"), _date),
     Kind("ipv4", ".", re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z])(?!\.[0-9])"), _ipv4),
 )
 _ANY = re.compile("[0-9@]")

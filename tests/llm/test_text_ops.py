@@ -111,6 +111,25 @@ def test_pseudonyms_keep_format_and_links():
     assert a == pii.pseudonymise_text("4111111111111111")[0]
 
 
+FORMS = [("iban", "BE68 5390 0754 7034", " EUR"), ("iban", "AT61 1904 3002 3457 3201", " EUR"), ("iban", "DE89 3704 0044 0532 0130 00", " EUR"), ("iban", "NO93 8601 1117 947", " USD 2000 CASH"), ("date", "2024-05-06", "T12:00:00Z"), ("date", "2024/05/06", ""), ("date", "2024.05.06", "."), ("date", "5/6/2024", ""), ("date", "5/12/2024", ","), ("date", "3/31/2024", ""), ("date", "2024-5-6", ""), ("phone", "+1 555 123 4567", ""), ("phone", "+14155552671", ""), ("phone", "+44 20 7946 0958", ""), ("phone", "+49 (30) 901820", ""), ("phone", "+353 1 234 567", "")]
+
+
+def test_further_forms_of_values():
+    """What follows a value does not hide it, and both directions agree."""
+    for kind, value, after in FORMS:
+        for key in (b"k", b"l", b"m"):
+            text = f"see {value}{after} and (so on)"
+            out, spans = pii.pseudonymise_text(text, key)
+            assert spans == [(kind, 4, 4 + len(value))], value
+            assert value not in out and len(out) == len(text) and out.endswith(f"{after} and (so on)")
+            assert pii.pseudonymise_text(out, key)[1] == spans and pii.pseudonymise_text(out, key, undo=True)[0] == text
+    two = "BE68 5390 0754 7034 AT61 1904 3002 3457 3201"
+    assert [s[0] for s in pii.pseudonymise_text(two)[1]] == ["iban", "iban"]
+    assert pii.pseudonymise_text("+1 (415) 555-2671")[0].translate({40: None, 41: None, 32: None, 45: None}) == pii.pseudonymise_text("+14155552671")[0]
+    for text in ("BE68 5390 0754 7035 EUR", "31/31/2024", "2024.13.06", "+12 34", "2024-05-06th"):
+        assert pii.pseudonymise_text(text) == (text, []), text
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 10, 97, 365):
         image = [pii.feistel(x, n, b"k", "t") for x in range(n)]
