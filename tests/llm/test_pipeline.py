@@ -49,3 +49,11 @@ def test_stages_keep_the_columns_of_documents(spark, edge_texts, tmp_path):
             assert out.columns == df.columns, name
             assert n == df.count() if name != "near_duplicates" else n < df.count()
         assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+
+
+def test_encoding_is_decoded_again(spark):
+    texts = ["", None, "a  b é 漢字 🙂", "the river " * 900]
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in corpus_pipeline.encoding(spark, df, SF).collect():
+        assert r.decoded == library.decode(r.ids) and r.n_tokens == len(r.ids)
