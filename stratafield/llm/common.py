@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from stratafield.session import materialize
 
-__all__ = ["append_columns", "lower_ascii", "materialize", "slices", "table", "tokenizer_path"]
+__all__ = ["append_columns", "apart", "lower_ascii", "materialize", "slices", "table", "tokenizer_path", "without"]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -31,14 +31,32 @@ def lower_ascii(column):
     return F.translate(column, _UPPER, _LOWER)
 
 
+def without(columns: list[str], names: list[str]) -> list[str]:
+    """The columns that have none of the names in any case, as Spark compares them."""
+    new = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in new]
+
+
+def apart(df: DataFrame, columns: list[str], work: Callable[..., DataFrame]) -> DataFrame:
+    """work(df, *columns) while df's columns have reserved names, then under their own names again.
+
+    What `work` adds can't clash with a column of the caller's, and only the caller's columns come back. Of a name that
+    is there in several cases the one that is spelt like it in `columns` is meant, else the first one.
+    """
+    names = df.columns
+    held = [f"__caller{i}" for i in range(len(names))]
+    at = [names.index(c) if c in names else [n.lower() for n in names].index(c.lower()) for c in columns]
+    out = work(df.toDF(*held), *[held[i] for i in at])
+    return out.select(*[F.col(h).alias(n) for h, n in zip(held, names, strict=True)])
+
+
 def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField], make: Callable[[], Callable[..., list[pa.Array]]]) -> DataFrame:
     """df with further columns, computed from Arrow batches of `inputs`.
 
     make() runs once in each task and returns a function from the input arrays to one array for each field. Columns
-    of df that have the name of a new field are replaced.
+    of df that have the name of a new field, in any case, are replaced.
     """
-    new = {f.name for f in fields}
-    kept = [c for c in df.columns if c not in new]
+    kept = without(df.columns, [f.name for f in fields])
     carried = [f"__in{i}" for i in range(len(inputs))]
     source = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(a) for c, a in zip(inputs, carried, strict=True)])
     schema = T.StructType([*[source.schema[c] for c in kept], *fields])

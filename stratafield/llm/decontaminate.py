@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratafield.llm.common import append_columns
+from stratafield.llm.common import append_columns, apart
 
 #: A-Z to a-z; all that is not 0-9, a-z or past ASCII to a blank.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -132,7 +132,7 @@ class Block:
         for w, (k, hashes) in enumerate(self.sets):
             _, h, place = min((frequency.get((k, h), 0), h, i) for i, h in enumerate(hashes))
             prefix[k, h].append((w, place))
-        self.prefix = dict(prefix)
+        self.prefix, self.sets = dict(prefix), []  # the workers don't need the other shingles
 
     def search(self, folded: bytes, lookups: dict[int, Lookup]) -> tuple[int, list[list[int]], list]:
         """Words of a text, spans of words that are hit, ids of items with windows that occur."""
@@ -220,7 +220,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
         rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b).toLocalIterator()
         block = Block({bytes(r.window): r["items"] for r in rows}, shingle)
         block.order(shingle_frequency(docs, text, block.shingles()))
-        names = [f"__{f.name}{b}" for f in fields] if blocks > 1 else [f.name for f in fields]
+        names = [f"__block{b}_{f.name}" for f in fields] if blocks > 1 else [f.name for f in fields]
 
         def make(block=block):
             by_k: dict[int, list[int]] = defaultdict(list)
@@ -268,6 +268,6 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The clean documents, with their own columns."""
-    return annotate(docs, benchmark, **options).where(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The clean documents, with their own columns and values, whatever their names."""
+    return apart(docs, [text], lambda held, t: annotate(held, benchmark, t, **options).where(~F.col("contaminated")))

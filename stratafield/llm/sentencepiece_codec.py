@@ -139,6 +139,23 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decode
     return append_columns(df, [ids], [T.StructField(text, T.StringType())], make)
 
 
+def code(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", end: bool = True) -> DataFrame:
+    """df with `ids` as encode() gives them and `decoded` as decode() does, by one worker, which holds the table once."""
+
+    def make():
+        table = WordTable.load(model_path)
+
+        def work(column: pa.Array) -> list[pa.Array]:
+            offsets, values = table.encode([t or "" for t in column.to_pylist()], end)
+            flat, ends = values.tolist(), offsets.tolist()
+            back = [table.library.decode(flat[a:z]) if z > a else "" for a, z in zip(ends[:-1], ends[1:], strict=True)]
+            return [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values)), pa.array(back, pa.string())]
+
+        return work
+
+    return append_columns(df, [text], [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())], make)
+
+
 def ids_digest(ids: str):
     """SHA-256 of the decimal ids joined by one space."""
     return F.sha2(F.concat_ws(" ", F.col(ids).cast("array<string>")).cast("binary"), 256)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratafield.llm.common import append_columns, materialize
+from stratafield.llm.common import append_columns, apart, materialize
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED = 42
@@ -263,41 +263,58 @@ def roots(edges: DataFrame) -> DataFrame:
         edges = materialize(small.distinct(), "small-star")
 
 
-def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) for each row; component_id is the smallest id whose fingerprint is reachable.
-
-    Null and empty texts have fingerprint zero and are linked like any other. A row with a null id takes part, but
-    names no component: component_id is null if no row of it has an id. Repeated rows stay. Other columns do not
-    matter; an empty table gives an empty table.
-    """
+def _components(docs: DataFrame, doc_id: str, text: str, words: int, distance: int) -> DataFrame:
+    """(doc_id, fp, component_id, root) for each row; root is one fingerprint of the component."""
     marked = add_fingerprint(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("__text")), "__text", "fp", words)
     marked = materialize(marked.select("doc_id", "fp"), "fingerprints")
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     root = materialize(roots(links(distinct, distance)), "roots")
     named = distinct.join(root.withColumnRenamed("u", "fp"), "fp")
     names = named.groupBy("root").agg(F.min("least").alias("named"))
-    named = named.join(names, "root").select("fp", "named")
-    named = distinct.join(named, "fp", "left").select("fp", F.coalesce("named", "least").alias("component_id"))
+    named = named.join(names, "root").select("fp", "root", "named")
+    named = distinct.join(named, "fp", "left").select("fp", F.coalesce("named", "least").alias("component_id"), F.coalesce("root", "fp").alias("root"))
     named = materialize(named, "components")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
+    """(doc_id, fp, component_id) for each row; component_id is the smallest id whose fingerprint is reachable.
+
+    Null and empty texts have fingerprint zero and are linked like any other. A row with a null id takes part, but
+    names no component: component_id is null if no row of it has an id. Repeated rows stay. Other columns do not
+    matter; an empty table gives an empty table.
+    """
+    return _components(docs, doc_id, text, words, distance).select("doc_id", "fp", "component_id")
+
+
+def _hashable(kind: T.DataType) -> bool:
+    inner = [kind.elementType] if isinstance(kind, T.ArrayType) else [f.dataType for f in kind] if isinstance(kind, T.StructType) else []
+    return not isinstance(kind, (T.MapType, T.VariantType)) and all(map(_hashable, inner))
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """One document of each component: the one with the smallest id; without any id, one row of each fingerprint's text.
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
+    """One row of each component, with its own columns and values.
 
-    Rows that repeat the id of a kept document go too; rows of one id are taken to be one document.
+    It is the row with the smallest id (any id before none); where several rows have that id, the one with the smallest
+    fingerprint, then text, then hash of the other columns. So texts that are not linked stay though they share an id.
     """
-    found = materialize(components(docs, doc_id=doc_id, **options), "document-components")
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    key = F.col(f"`{doc_id}`")
-    gone, again = gone.withColumnRenamed("doc_id", "__id"), materialize(again.withColumnRenamed("doc_id", "__id"), "repeated")
-    named = docs.where(key.isNotNull()).join(gone, key == F.col("__id"), "left_anti")
+    return apart(docs, [doc_id, text], lambda held, key, said: _keep_one(held, key, said, words, distance))
+
+
+def _keep_one(docs: DataFrame, key: str, text: str, words: int, distance: int) -> DataFrame:
+    found = materialize(_components(docs, key, text, words, distance), "document-components")
+    again = materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")), "repeated")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
+    once = docs.where(F.col(key).isNotNull()).join(gone, F.col(key) == F.col("__gone"), "left_anti")
     if not again.take(1) and not found.where("doc_id is null").take(1):
-        return named
-    once = named.join(again, key == F.col("__id"), "left_anti")
-    repeated = named.join(again, key == F.col("__id"), "left_semi").dropDuplicates([doc_id])
-    alone = found.where("component_id is null").select("fp").distinct()
-    nameless = add_fingerprint(docs.where(key.isNull()), options.get("text", "text"), "__fp", options.get("words", 4))
-    nameless = nameless.join(alone, nameless["__fp"] == alone["fp"], "left_semi").dropDuplicates(["__fp"]).drop("__fp")
-    return once.unionByName(repeated).unionByName(nameless)
+        return once
+    once = once.join(again, F.col(key) == F.col("__again"), "left_anti")
+    # Rows that an id does not tell apart: a winner is named by its fingerprint, which is in one component only.
+    unclear = found.where("doc_id is null and component_id is null").unionByName(found.where("doc_id = component_id").join(again, F.col("doc_id") == F.col("__again"), "left_semi"))
+    winners = unclear.groupBy("root").agg(F.min("doc_id").alias("__id"), F.min("fp").alias("__winner")).drop("root")
+    rest = docs.where(F.col(key).isNull()).unionByName(docs.join(again, F.col(key) == F.col("__again"), "left_semi"))
+    rest = add_fingerprint(rest, text, "__fp", words)
+    order = F.struct(F.col(text), F.xxhash64(*[c for c in docs.columns if _hashable(docs.schema[c].dataType)]))
+    rest = rest.groupBy("__fp", F.col(key).alias("__key")).agg(F.min_by(F.struct(*docs.columns), order).alias("__row"))
+    rest = rest.join(winners, (F.col("__fp") == F.col("__winner")) & F.col("__key").eqNullSafe(F.col("__id")), "left_semi")
+    return once.unionByName(rest.select("__row.*"))

@@ -17,8 +17,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratafield.llm.common import append_columns
@@ -196,19 +196,17 @@ def count_tokens(df: DataFrame, model_path: str, text: str = "text", limit: int
     """df with n_bytes and n_tokens (long) and over_limit (boolean), as the library counts without begin and end ids.
 
     Null and empty texts have 0 bytes and 0 tokens. Very long texts are counted whole, in chunks. Existing columns of
-    these names are replaced; repeated rows stay; an empty table gives an empty table.
+    these names, the text's own too, are replaced; repeated rows stay; an empty table gives an empty table.
     """
 
     def make():
         machine = Transducer.load(model_path)
 
         def work(column: pa.Array) -> list[pa.Array]:
-            return [pa.array([machine.count(t) if t else 0 for t in column.to_pylist()], pa.int64())]
+            tokens = pa.array([machine.count(t) if t else 0 for t in column.to_pylist()], pa.int64())
+            return [pc.fill_null(pc.binary_length(column), 0).cast(pa.int64()), tokens, pc.greater(tokens, limit)]
 
         return work
 
-    counted = append_columns(df, [text], [T.StructField("n_tokens", T.LongType())], make)
-    bytes_ = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long")
-    if text in ("n_bytes", "n_tokens", "over_limit"):
-        raise ValueError(f"the text column can't be named {text}")
-    return counted.withColumn("n_bytes", bytes_).withColumn("over_limit", F.col("n_tokens") > limit)
+    fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
+    return append_columns(df, [text], fields, make)

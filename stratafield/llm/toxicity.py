@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratafield.llm.common import append_columns, slices
+from stratafield.llm.common import append_columns, apart, slices
 
 #: Letters of other scripts that look like Latin ones, and signs that are used for letters.
 HOMOGLYPHS = dict(zip("авекмнорстухіјѕԁһӏԛԝαβεικνορτυχ", "abekmhopctyxijsdhlqwabeikvoptux", strict=True))
@@ -188,9 +188,9 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold: floa
     return append_columns(docs, [text], [T.StructField("score", T.DoubleType())], make).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def drop_toxic(docs: DataFrame, lexicon: Lexicon, **options) -> DataFrame:
-    """The documents that are not predicted to be toxic, with their own columns."""
-    return score(docs, lexicon, **options).where(F.col("predicted") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+def drop_toxic(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The documents that are not predicted to be toxic, with their own columns and values, whatever their names."""
+    return apart(docs, [text], lambda held, t: score(held, lexicon, t, threshold).where(F.col("predicted") == 0))
 
 
 def accuracy(predicted: Iterable[int], truth: Iterable[int]) -> float:
