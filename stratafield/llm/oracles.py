@@ -39,13 +39,28 @@ def _rule_case(what: str) -> str:
     return "CASE " + " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.host + r.path if what == 'rule' else r.action}'" for r in ordered) + " END"
 
 
+_DEPTH = 3
+
+
 def _level(k: int) -> str:
     above = "host" if k == 1 else "host, " + ", ".join(f"g{i}" for i in range(1, k))
+    child = f"s{k + 1}" if k < _DEPTH else "tail"
     return f"""
 h{k} AS (SELECT {above}, s{k}, sum(n) AS hn FROM l{k - 1} GROUP BY ALL),
 p{k} AS (SELECT {above}, sum(hn) AS pn FROM h{k} GROUP BY ALL),
-l{k} AS (SELECT l{k - 1}.*, CASE WHEN s{k} <> '' AND hn < 0.02::DOUBLE * pn THEN '*' ELSE s{k} END AS g{k}
-         FROM l{k - 1} JOIN h{k} USING ({above}, s{k}) JOIN p{k} USING ({above}))"""
+r{k} AS (SELECT l{k - 1}.*, CASE WHEN s{k} <> '' AND hn < 0.02::DOUBLE * pn THEN '*' ELSE s{k} END AS r
+         FROM l{k - 1} JOIN h{k} USING ({above}, s{k}) JOIN p{k} USING ({above})),
+every{k} AS (SELECT {above}, r, {child} AS child, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b, sum(n - a - b)::DOUBLE AS u FROM r{k} WHERE r <> '' GROUP BY ALL),
+size{k} AS (SELECT * FROM (SELECT {above}, r, sum(a + b + u) AS mine FROM every{k} GROUP BY ALL) WHERE mine >= 8),
+kid{k} AS (
+  SELECT {above}, r, child, sum(a) / any_value(mine) AS a, sum(b) / any_value(mine) AS b, sum(u) / any_value(mine) AS u
+  FROM (SELECT * REPLACE (CASE WHEN child <> '' AND a + b + u < 0.02::DOUBLE * mine THEN '*' ELSE child END AS child) FROM every{k} JOIN size{k} USING ({above}, r)) GROUP BY {above}, r, child),
+heavy{k} AS (SELECT {above}, r AS model, row_number() OVER (PARTITION BY {above} ORDER BY mine DESC, r) AS place FROM size{k} QUALIFY place <= 4),
+model{k} AS (SELECT h.*, child, a AS ma, b AS mb, u AS mu FROM heavy{k} h JOIN kid{k} k ON model = r AND {" AND ".join(f"h.{x} = k.{x}" for x in above.split(", "))}),
+like{k} AS (
+  SELECT {above}, r, min_by(model, place) AS model FROM (
+    SELECT {above}, r, model, place FROM kid{k} JOIN model{k} USING ({above}, child) GROUP BY ALL HAVING sum(least(a, ma) + least(b, mb) + least(u, mu)) >= 0.75::DOUBLE) GROUP BY ALL),
+l{k} AS (SELECT r{k}.* EXCLUDE (r), coalesce('~' || model, r) AS g{k} FROM r{k} LEFT JOIN like{k} USING ({above}, r))"""
 
 
 OP8 = f"""
@@ -53,27 +68,21 @@ WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, in
 parts AS (SELECT page_id, {_FOLD.format("regexp_extract(rest, '^[^/?#]*')")} AS host, substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) AS tail FROM cut),
 base AS (SELECT page_id, host, regexp_extract(tail, '^[^?#]*') AS path FROM parts),
 ruled AS (
-  SELECT *, {_rule_case("rule")} AS rule, {_rule_case("action")} AS action, string_split(path, '/') AS seg FROM base),
+  SELECT *, {_rule_case("rule")} AS rule, {_rule_case("action")} AS action,
+    [CASE WHEN regexp_matches(x, '{VARIABLE}') THEN '*' ELSE x END FOR x IN string_split(path, '/')[2:]] AS seg FROM base),
 general AS (
-  SELECT page_id, host, path, rule, action,
-    {", ".join(f"CASE WHEN regexp_matches(seg[{k + 1}], '{VARIABLE}') THEN '*' ELSE coalesce(seg[{k + 1}], '') END AS s{k}" for k in (1, 2, 3))},
-    CASE WHEN len(seg) > 4 THEN '**' ELSE '' END AS tail
+  SELECT page_id, host, path, rule, action, {", ".join(f"coalesce(seg[{k}], '') AS s{k}" for k in range(1, _DEPTH + 1))}, array_to_string(seg[{_DEPTH + 1}:], '/') AS tail
   FROM ruled),
-l0 AS (SELECT host, s1, s2, s3, tail, count(*) AS n, count(*) FILTER (action = 'block') AS b, count(*) FILTER (action = 'allow') AS a FROM general GROUP BY ALL),
-{",".join(_level(k) for k in (1, 2, 3))},
-kids AS (SELECT host, g1, concat_ws('/', g2, g3, tail) AS child, sum(n) AS n FROM l3 GROUP BY ALL),
-tops AS (SELECT host, g1, sum(n) AS total FROM kids GROUP BY ALL),
-branch AS (
-  SELECT host, g1, string_agg(sign, '|' ORDER BY sign) AS branch
-  FROM (SELECT DISTINCT host, g1, child || '=' || floor(n * 10 / total)::BIGINT::VARCHAR AS sign FROM kids JOIN tops USING (host, g1)) GROUP BY ALL),
-node AS (SELECT host, s1, s2, s3, tail, a, b, concat_ws('/', branch, g2, g3, tail) AS template FROM l3 JOIN branch USING (host, g1)),
+l0 AS (SELECT host, {", ".join(f"s{k}" for k in range(1, _DEPTH + 1))}, tail, count(*) AS n, count(*) FILTER (action = 'block') AS b, count(*) FILTER (action = 'allow') AS a FROM general GROUP BY ALL),
+{",".join(_level(k) for k in range(1, _DEPTH + 1))},
+node AS (SELECT host, {", ".join(f"s{k}" for k in range(1, _DEPTH + 1))}, tail, a, b, concat_ws('/', {", ".join(f"g{k}" for k in range(1, _DEPTH + 1))}, tail) AS template FROM l{_DEPTH}),
 template AS (SELECT host, template, sum(a)::DOUBLE AS ta, sum(b)::DOUBLE AS tb FROM node GROUP BY ALL),
-hosts AS (SELECT host, (sum(tb) + 2.0::DOUBLE * 0.5::DOUBLE) / (sum(ta) + sum(tb) + 2.0::DOUBLE) AS ph FROM template GROUP BY ALL),
+corpus AS (SELECT CASE WHEN sum(ta + tb) > 0 THEN sum(tb) / sum(ta + tb) ELSE 0.5::DOUBLE END AS prior FROM template),
 judged AS (
-  SELECT host, s1, s2, s3, tail, (tb + 2.0::DOUBLE * ph) / (ta + tb + 2.0::DOUBLE) AS purity
-  FROM node JOIN template USING (host, template) JOIN hosts USING (host))
-SELECT page_id, host, path, rule, coalesce(action, CASE WHEN purity >= 0.7::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
-FROM general LEFT JOIN judged USING (host, s1, s2, s3, tail)
+  SELECT host, {", ".join(f"s{k}" for k in range(1, _DEPTH + 1))}, tail, ta + tb > 0 AND (tb + 2.0::DOUBLE * prior) / (ta + tb + 2.0::DOUBLE) >= 0.7::DOUBLE AS bad
+  FROM node JOIN template USING (host, template), corpus)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN bad THEN 'block' ELSE 'allow' END) AS verdict
+FROM general LEFT JOIN judged USING (host, {", ".join(f"s{k}" for k in range(1, _DEPTH + 1))}, tail)
 """
 
 _TEMPLATE = Template()

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import duckdb
 import pytest
@@ -75,11 +76,61 @@ def test_urls(spark):
     assert url_filter.filter_urls(df.limit(0)).count() == 0
 
 
-def test_templates_learn_from_rules(spark):
-    """A host whose ruled branches are blocked loses its other branches of the same shape; one without rules keeps all."""
-    urls = [f"http://a.net/{lang}/{n}" for lang in ("es", "fr", "de") for n in range(20)] + [f"http://a.org/{lang}/{n}" for lang in ("es", "de") for n in range(20)]
-    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    verdicts = {(r.host, r.path.split("/")[1]): r.verdict for r in url_filter.filter_urls(df).collect()}
-    assert verdicts == {("a.net", "es"): "block", ("a.net", "fr"): "block", ("a.net", "de"): "block", ("a.org", "es"): "allow", ("a.org", "de"): "allow"}
-    names = {r.template for r in url_filter.filter_urls(df).collect()}
-    assert len(names) == 1  # branches of one shape are merged
+def by_sql(urls):
+    c = duckdb.connect()
+    c.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    c.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(urls)))
+    return {r[0]: r[1:] for r in c.execute(queries.ORACLE_SQL["op8_url_filter"]).fetchall()}
+
+
+def templates(spark, urls, **options):
+    got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), **options).collect()
+    if not options:
+        assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == by_sql(urls)
+    return {r.page_id: r for r in got}
+
+
+def test_branches_whose_labels_differ_stay_apart(spark):
+    """Blocked branches of one shape are one template, and do not take a branch without labels along."""
+    urls = [f"http://a.net/{lang}/{n}" for lang in ("es", "fr", "de", "en") for n in range(20)] + [f"http://a.org/{lang}/{n}" for lang in ("es", "de") for n in range(20)]
+    got = templates(spark, urls)
+    verdicts = {(r.host, r.path.split("/")[1]): r.verdict for r in got.values()}
+    assert verdicts == {("a.net", "es"): "block", ("a.net", "fr"): "block", ("a.net", "de"): "allow", ("a.net", "en"): "allow", ("a.org", "es"): "allow", ("a.org", "de"): "allow"}
+    assert {r.template.split("/")[0] for r in got.values()} == {"~es", "~de"}
+
+
+def test_similar_branches_are_merged_at_every_level(spark):
+    """Shares that differ a little (49 and 51 of 100) make one branch, another shape stays, at the first and second level."""
+    rows = {"p1": 49, "p2": 51, "p3": 50, "blog": 0}
+    urls = [f"http://x.org/{b}/{'item' if n < many else 'list'}/a{n % 2}" for b, many in rows.items() for n in range(100) if b != "blog"]
+    urls += [f"http://x.org/blog/feed/{n}" for n in range(100)]
+    urls += [f"http://y.org/top/{b}/{'x' if n < many else 'y'}" for b, many in (("p1", 49), ("p2", 51), ("p3", 50)) for n in range(100)]
+    urls += [f"http://y.org/top/blog/{n}" for n in range(100)]
+    got = templates(spark, urls)
+    assert {r.template.split("/")[0] for r in got.values() if "/p" in r.path and r.host == "x.org"} == {"~p1"}
+    assert {r.template.split("/")[0] for r in got.values() if "blog" in r.path and r.host == "x.org"} == {"~blog"}
+    assert {r.template.split("/")[1] for r in got.values() if "/p" in r.path and r.host == "y.org"} == {"~p1"}
+    assert {r.template.split("/")[1] for r in got.values() if "blog" in r.path and r.host == "y.org"} == {"~blog"}
+    few = templates(spark, urls, least_rows=150)
+    assert not any("p1" in r.template for r in few.values() if "/p2" in r.path)
+
+
+def test_segments_past_the_merged_levels_tell_templates_apart(spark):
+    urls = [f"http://z.org/a/b/c/{d}/{n}" for d in ("d", "e") for n in range(9)]
+    assert {r.template for r in templates(spark, urls).values()} == {"~a/~b/~c/d/*", "~a/~b/~c/e/*"}
+
+
+def test_rare_segments_share_a_template_and_its_labels(spark):
+    """Variable first segments make one wildcard branch; blocked ones in it reject the rest of that template only."""
+    rules = (url_filter.Rule("block", "v.net", "/bad"),)
+    urls = [f"http://v.net/{'bad' if n < 150 else 'user'}{n}/x" for n in range(200)] + ["http://v.net/home"] * 100
+    got = templates(spark, urls, rules=rules)
+    assert {r.template for r in got.values() if r.page_id < 200} == {"~*/~x//"}
+    assert {r.verdict for r in got.values() if r.page_id < 200} == {"block"} and got[250].verdict == "allow"
+
+
+def test_sql_of_urls(spark):
+    rng = random.Random(3)
+    hosts, parts = ["a.net", "b.net", "www.example.com", "x.org"], ["es", "fr", "en", "de", "12", "2024-01-02", "abcdef12", "p", "q", "", "é"]
+    urls = [f"http://{rng.choice(hosts)}/" + "/".join(rng.choice(parts) for _ in range(rng.randint(0, 6))) for _ in range(3000)] + URLS + URLS[:3]
+    templates(spark, urls)
