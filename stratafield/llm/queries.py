@@ -44,7 +44,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs).select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), F.concat_ws(",", F.array_sort(F.col("pii.kind"))).alias("kinds"))
+    return pii.pseudonymise(docs, pii.session_key(spark)).select("doc_id", "text", F.size("pii").cast("long").alias("n_pii"), F.concat_ws(",", F.array_sort(F.col("pii.kind"))).alias("kinds"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

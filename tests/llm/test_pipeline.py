@@ -28,7 +28,8 @@ def test_pipeline_equals_brute_force(spark):
     benchmark = [(r.item_id, r.text) for r in items.collect()]
     rows = [r for r in rows if not contamination(r.text, benchmark)[3]]
     library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
-    texts = {r.doc_id: pii.pseudonymise_text(r.text)[0] for r in rows}
+    key = pii.session_key(spark)
+    texts = {r.doc_id: pii.pseudonymise_text(r.text, key)[0] for r in rows}
     want = {k: (t, library.encode(t) + [library.eos_id()]) for k, t in texts.items()}
     got = {r.doc_id: (r.text, r.ids) for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == want and 0 < len(got) < docs.count()
