@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stratafield.llm import decontaminate, pii, sentencepiece_codec, simhash
 from stratafield.llm import toxicity as tox
-from stratafield.llm.common import materialize, table, tokenizer_path
+from stratafield.llm.common import apart, materialize, table, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 
@@ -32,7 +32,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms for private data; n_chars is that of the new text."""
-    return pii.pseudonymise(docs).drop("pii").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    key = pii.session_key(spark)
+    done = apart(docs, ["text"], lambda held, text: pii.pseudonymise(held, key, text))
+    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
