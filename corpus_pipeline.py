@@ -39,8 +39,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, text, ids (with the end id), the text decoded from them and n_tokens of each document."""
-    model = tokenizer_path(MODEL)
-    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs.select("doc_id", "text"), model), model)
+    coded = sentencepiece_codec.code(docs.select("doc_id", "text"), tokenizer_path(MODEL))
     return coded.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
