@@ -244,8 +244,90 @@ def test_alignment_rises_and_is_near_the_longest_common_subsequence():
     assert license_scan.rising([(0, 3), (1, 1), (2, 2), (3, 0), (4, 4)]) == [(1, 1), (2, 2), (4, 4)]
 
 
+MIT = next(t for k, t in license_scan.TEMPLATES if k == "MIT")
+APACHE = next(t for k, t in license_scan.TEMPLATES if k == "Apache-2.0").replace("{", "").replace("}", "")
+NOTICES = {
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+    "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+    "Licensed under the GNU Lesser General Public License, version 3": "LGPL-3.0",
+    "distributed under the GPLv2": "GPL-2.0",
+    "Licensed under CC BY 4.0.": "CC-BY-4.0",
+    "Licensed under CC BY-SA 4.0": "CC-BY-SA-4.0",
+    "Licensed under CC BY-NC 4.0": "CC-BY-NC-4.0",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 International License": "CC-BY-SA-3.0",
+    "Licensed under the Apache License, Version 1.0": "Apache-1.0",
+    "Licensed under the Apache License, Version 2.0": "Apache-2.0",
+    "Licensed under the Apache License, Version 2.0.1": None,
+    "Licensed under the Apache License, Version 3.0": None,
+    "Released under the BSD License": "BSD",
+    "released under the BSD 2-Clause License": "BSD-2-Clause",
+    "Released under the MIT License": "MIT",
+    "Not released under the MIT License": None,
+    "It was never released under the MIT License": None,
+    "The code isn't distributed under the ISC License.": None,
+    "They were not. Released under the MIT License": "MIT",
+    "released under the non-MIT License": None,
+    "SPDX-License-Identifier: MIT": "MIT",
+    "SPDX-License-Identifier: MIT-0": "MIT-0",
+    "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0",
+    "SPDX-License-Identifier: GPL-2.0-with-a-twist": None,
+    "The license of the version was under the apache": None,
+}
+
+
+def test_each_notice_is_its_own_license():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, 0.8)
+    for text, license_ in NOTICES.items():
+        for before, after in (("", ""), ("foo of the bar. ", " and so on"), ("x\n", "\nCopyright")):
+            assert [x[0] for x in scanner.scan(before + text + after)] == ([license_] if license_ else []), text
+
+
+def test_near_licenses_compete():
+    """Every full text is its own license, whole, with a few words changed, and with another one of its kind elsewhere."""
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, 0.8)
+    full = {k: t.replace("{", "").replace("}", "") for k, t in reversed(license_scan.TEMPLATES) if len(t) > 200}
+    assert len(full) > 15
+    for license_, text in full.items():
+        assert [(k, c) for k, c, *_ in scanner.scan(f"a few words\n{text}\nand more")] == [(license_, 1.0)]
+        words = text.replace("copyright holder", "Regents of the Hidden Valley").split(" ")
+        changed = " ".join(w for i, w in enumerate(words) if i % 23 != 22 or not w.islower())
+        assert [k for k, *_ in scanner.scan(changed)] == [license_], license_
+    two, three = full["BSD-2-Clause"], full["BSD-3-Clause"]
+    assert [k for k, *_ in scanner.notices(f"{three} then {two} then {three}")] == ["BSD-3-Clause", "BSD-2-Clause", "BSD-3-Clause"]
+
+
+def test_scan_equals_brute_force():
+    """Random templates without and with names, whose words are unique, so that alignment is the longest common one."""
+    rng = random.Random(31)
+    found = 0
+    for _ in range(400):
+        n = rng.randint(5, 24)
+        template = [f"w{i}" for i in range(n)]
+        a = rng.randint(0, n - 2)
+        z = rng.randint(a + 1, min(n, a + 4))
+        named = rng.random() < 0.5
+        text = " ".join([*template[:a], "{" + template[a], *template[a + 1 : z]]) + "} " + " ".join(template[z:]) if named else " ".join(template)
+        notice = [w for w in template if rng.random() > rng.choice([0.0, 0.1, 0.3])]
+        for _ in range(rng.choice([0, 1, 4])):
+            notice.insert(rng.randint(0, len(notice)), f"x{rng.random()}"[:9].replace(".", ""))
+        words = [f"a{i}" for i in range(rng.randint(0, 60))] + notice + [f"b{i}" for i in range(rng.randint(0, 60))]
+        got = license_scan.Scanner([("L", text)], 0.8).scan(" ".join(words))
+        if named:
+            want = 0.0
+            for p in range(len(words)):
+                if words[p : p + z - a] == template[a:z]:
+                    left, right = words[max(0, p - 2 * a - 2) : p], words[p + z - a : p + z - a + 2 * (n - z) + 2]
+                    want = max(want, (z - a + lcs(left, template[:a]) + lcs(right, template[z:])) / n)
+            assert [x[1] for x in got] == ([want] if want >= 0.8 else []), (text, words)
+        else:
+            close = max((lcs(words[i : i + n + n // 4], template) / n for i in range(len(words))), default=0.0)
+            assert (not got and close < 0.8) or (got and close <= got[0][1] <= lcs(words, template) / n)
+        found += bool(got)
+    assert 100 < found < 390
+
+
 def test_license_scan(spark, edge_docs):
-    mit = license_scan.TEMPLATES[3][1]
+    mit = MIT
     texts = ["foo bar. Licensed under the Apache License, Version 2.0. " * 3, mit.replace("modify, ", "").upper(), "The license of the version was under the apache", mit + " LICENSED under CC BY-NC 4.0!", None]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     got = {r.doc_id: [(x.license, round(x.coverage, 2)) for x in r.licenses] for r in license_scan.scan(df).collect()}
@@ -259,7 +341,7 @@ def test_license_notices_amid_prose():
     rng = random.Random(6)
     phrases = ["of the", "in the", "to the", "and to", "to do", "to use", "of this", "house", "river", "is a", "we had", "for any person"]
     scanner = license_scan.Scanner(license_scan.TEMPLATES, 0.8)
-    for name, notice in (license_scan.TEMPLATES[1], license_scan.TEMPLATES[3]):
+    for name, notice in (("Apache-2.0", APACHE), ("MIT", MIT)):
         size = len(license_scan.words_of(notice))
         for at in range(0, 400, 10):
             prose = " ".join(rng.choice(phrases) for _ in range(400)).split(" ")
@@ -267,6 +349,6 @@ def test_license_notices_amid_prose():
             assert found[name][0] == 1.0
             if name == "MIT":
                 assert found[name] == [1.0, at, at + size]
-    mit = license_scan.words_of(license_scan.TEMPLATES[3][1])
+    mit = license_scan.words_of(MIT)
     spread = [w for i, m in enumerate(mit) for w in ([m, f"x{i}"] if i % 3 else [m])]
     assert [x[:2] for x in scanner.scan(" ".join(["of the house"] * 20 + spread + ["of the"] * 20))] == [("MIT", 1.0)]
