@@ -57,16 +57,17 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField]
     of df that have the name of a new field, in any case, are replaced.
     """
     kept = without(df.columns, [f.name for f in fields])
-    carried = [f"__in{i}" for i in range(len(inputs))]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(a) for c, a in zip(inputs, carried, strict=True)])
-    schema = T.StructType([*[source.schema[c] for c in kept], *fields])
+    carried = {c: f"__in{i}" for i, c in enumerate(inputs) if c not in kept}
+    source = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(a) for c, a in carried.items()])
+    schema = T.StructType([*source.schema.fields[: len(kept)], *fields])
+    places = [len(kept) + list(carried).index(c) if c in carried else kept.index(c) for c in inputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
             for part in slices(batch):
                 out = [part.column(i) for i in range(len(kept))]
-                out += work(*[part.column(len(kept) + i) for i in range(len(inputs))])
+                out += work(*[part.column(i) for i in places])
                 yield pa.RecordBatch.from_arrays(out, names=[f.name for f in schema])
 
     return source.mapInArrow(run, schema)
