@@ -295,12 +295,26 @@ class Template:
             yield [(a + i, j) for i, j in pairs]
 
     def notices(self, text: Text, least: float) -> Iterator[tuple[float, float, int, int]]:
-        """(closeness, coverage, from, to) of stretches that are covered enough."""
-        n = len(self.words)
+        """(closeness, coverage, from, to) of stretches that are covered enough; of overlapping ones that with the most words."""
+        n, found = len(self.words), set()
         for pairs in self.around_names(text) if self.names else self.in_windows(text.words, least):
             if pairs and len(pairs) >= self.enough(least):
                 a, z = pairs[0][0], pairs[-1][0] + 1
-                yield 2 * len(pairs) / (n + z - a), len(pairs) / n, a, z
+                found.add((-len(pairs), z - a, a, z))
+        for many, size, a, z in _apart(sorted(found)):
+            yield -2 * many / (n + size), -many / n, a, z
+
+
+def _apart(found: list[tuple]) -> Iterator[tuple]:
+    """Of tuples that end with (from, to), best first, those that overlap no better one."""
+    taken: list[tuple[int, int]] = []
+    for x in found:
+        a, z = x[-2:]
+        k = bisect_left(taken, (a,))
+        if (k and taken[k - 1][1] > a) or (k < len(taken) and taken[k][0] < z):
+            continue
+        taken.insert(k, (a, z))
+        yield x
 
 
 class Scanner:
@@ -325,14 +339,8 @@ class Scanner:
         tried = [t for w in self.by_word.keys() & said.present for needed in self.by_word[w] if needed <= said.present for t in self.named[needed]]
         for t in tried + self.others:
             if t.can_reach(said.present, self.least):
-                found += [(-d, z - a if t.names else a - z, a, t.license, c, z) for d, c, a, z in t.notices(said, self.least)]
-        taken: list[tuple[int, int, str, float]] = []
-        for _, _, a, license_, c, z in sorted(found, key=lambda x: (x[0], -(x[5] - x[2]), x[2], x[3])):
-            k = bisect_left(taken, (a,))
-            if (k and taken[k - 1][1] > a) or (k < len(taken) and taken[k][0] < z):
-                continue
-            taken.insert(k, (a, z, license_, c))
-        return [(license_, c, a, z) for a, z, license_, c in taken]
+                found += [(-closeness, a - z, t.license, c, a, z) for closeness, c, a, z in t.notices(said, self.least)]
+        return sorted((x[2:] for x in _apart(sorted(found))), key=lambda x: x[2])
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(license, coverage, from word, to word) of each license's best notice, best first; ties by name."""
