@@ -33,8 +33,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_path(MODEL)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, model).drop("text"), model)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sentencepiece_codec.ids_digest("ids").alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    coded = sentencepiece_codec.code(docs, model, decoded="text")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sentencepiece_codec.ids_digest("ids").alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
