@@ -183,6 +183,79 @@ def test_nearest_with_repeated_ids(spark, differ):
         assert [j for j, _ in got[q]] == [j for j, _ in want] and np.allclose([s for _, s in got[q]], [s for _, s in want])
 
 
+def groups(rng, n, d=32):
+    centres = rng.normal(size=(n // 40, d))
+    v = centres[rng.integers(0, len(centres), n)] + rng.normal(size=(n, d)) * 0.3
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def work(v, k=20):
+    """(scored pairs by all pairs, recall) of the index over vectors of one range, without Spark."""
+    n, ids = len(v), np.arange(len(v))
+    index = nearest.fit(0, 1.0 + 1e-9, n, v[np.random.default_rng(1).permutation(n)[:2000]], k, 0.94, 1000, 256)
+    projections, queries, scored, found = index.projections(), np.arange(0, n, 20), 0, {}
+    for t in range(index.tables):
+        places, asked = index.places(v, t, False, projections), index.places(v[queries], t, True, projections)
+        shards = index.shards_of_codes(index.codes(places))
+        who, wanted = index.shards_of_queries(asked)
+        for s in np.unique(shards):
+            mine, here = np.flatnonzero(shards == s), who[wanted == s]
+            shard = nearest.Shard(index, [ids[i : i + 1] for i in mine], v[mine], index.codes(places[mine]))
+            for own, i, x in shard.search(queries[here], v[queries][here], asked[here], k):
+                found.setdefault(own, {}).update(zip(i, x, strict=True))
+            scored += shard.scored
+    hits = []
+    for q in queries.tolist():
+        scores = v @ v[q]
+        scores[q] = -9
+        best = sorted(found.get(q, {}), key=lambda i, q=q: -found[q][i])[:k]
+        hits.append(len(set(best) & set(np.argpartition(-scores, k)[:k].tolist())) / k)
+    return scored / len(queries) / n, np.mean(hits)
+
+
+def test_index_scores_few_rows_where_vectors_form_groups():
+    """At most 0.15 and 0.05 of all pairs are scored, so the work grows far slower than the square."""
+    rng = np.random.default_rng(14)
+    small, large = work(groups(rng, 3000)), work(groups(rng, 12000))
+    assert small[1] >= 0.9 and large[1] >= 0.9
+    assert small[0] <= 0.15 and large[0] <= 0.05 and large[0] < 0.5 * small[0]
+
+
+def test_buckets_are_the_same_however_they_are_looked_up(monkeypatch):
+    v = groups(np.random.default_rng(15), 1500)
+    want = work(v)
+    for depth, dense, pairs in ((1, 0.0, 0), (2, 2.0, 10**9), (9, 0.5, 64)):
+        monkeypatch.setattr(nearest, "FRONT", depth)
+        monkeypatch.setattr(nearest, "DENSE", dense)
+        monkeypatch.setattr(nearest, "PAIRS_AT_ONCE", pairs)
+        assert work(v) == want
+
+
+def test_long_vectors_are_found_and_do_not_hide_others(spark):
+    """A vector of norm 1000 among others of norm 1, tiny ones, and one vector under many ids."""
+    rng = np.random.default_rng(16)
+    v = groups(rng, 1200, 16)
+    v[7] *= 1000
+    v[400:410] *= 1e-200
+    v[600:900] = v[600]
+    rows = [(i, r.tolist()) for i, r in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest.nearest(df, F.col("id") % 20 == 0, k=10, shard_rows=200, exact_rows=50).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    hits = []
+    for q in range(0, 1200, 20):
+        scores = v @ v[q]
+        scores[q] = -np.inf
+        want = np.lexsort((np.arange(1200), -scores))[:10].tolist()
+        hits.append(len(set(want) & set(got[q])) / 10)
+        if v[7] @ v[q] > 0 and q != 7:
+            assert got[q][0] == 7
+        if 600 <= q < 900:
+            assert [i for i in got[q] if i != 7][:8] == [i for i in range(600, 610) if i != q][:8]
+    assert np.mean(hits) >= 0.9
+
+
 def test_nearest_of_few_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     few = spark.createDataFrame([(0, [1.0, 0.0]), (3, [0.5, 0.5]), (2, [0.5, 0.5]), (20, [-1.0, 0.0])], schema)
