@@ -30,10 +30,17 @@ def model_caption(prompt: Column, complete: Callable[[str], str]) -> Column:
     return F.pandas_udf(ask, "string")(prompt)
 
 
-#: Rules a stratum's points should satisfy; 0.6 is the one published threshold, the others are defaults of this library.
-def stratum_rules(ndvi: Column, night_light: Column, population: Column, dark: float = 0.3, crowded: float = 0.7) -> dict[str, Column]:
+def stratum_rules(ndvi: Column, night_light: Column, population: Column, farmland: Column, coast_km: Column, rain_mm: Column, elevation_m: Column, water: Column, dark: float = 0.3, crowded: float = 0.7, covered: float = 0.5, near_km: float = 10.0, dry_mm: float = 250.0, high_m: float = 1500.0) -> dict[str, Column]:
+    """Rules that a stratum's points should satisfy. 0.6 is the one published threshold, the others are this library's own.
+
+    farmland and water are shares of the ground; rain is that of a year.
+    """
     return {
+        "agricultural": (farmland > covered) & (ndvi > 0.6),
         "forest": (ndvi > 0.6) & (night_light < dark),
-        "agricultural": ndvi > 0.6,
+        "coastal": (coast_km < near_km) & (water < covered),
+        "arid": rain_mm < dry_mm,
+        "alpine": elevation_m > high_m,
         "informal_settlements": (population > crowded) & (night_light < dark),
+        "water_wetland": water > covered,
     }

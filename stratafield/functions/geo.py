@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,16 +39,19 @@ def bounding_box(lat: Column, lon: Column, size_m: float = 256.0) -> dict[str, C
     return {"bbox_min_lat": lat - dlat, "bbox_max_lat": lat + dlat, "bbox_min_lon": lon - dlon, "bbox_max_lon": lon + dlon}
 
 
-def cell_width(spacing_km: float, max_abs_lat: float) -> float:
-    """Degrees of longitude that points closer than spacing_km can differ by, up to that latitude."""
-    if not 0 <= max_abs_lat < 90:
-        raise ValueError("latitudes must be under 90 degrees")
-    return spacing_km / (KM_PER_DEGREE * math.cos(math.radians(max_abs_lat))) * (1 + 1e-6)
+def cell_row(lat: Column, spacing_km: float) -> Column:
+    """Row of a grid: points closer than spacing_km are in the same or adjoining rows."""
+    return F.floor(lat * KM_PER_DEGREE / spacing_km).cast("bigint")
+
 
+def cell_column(row: Column, lon: Column, spacing_km: float) -> Column:
+    """Column in a row, whose cells are as wide as the degrees of longitude by which close points in it can differ.
 
-def cell(lat: Column, lon: Column, spacing_km: float, max_abs_lat: float) -> tuple[Column, Column]:
-    """Grid cell: points closer than spacing_km are in the same or adjoining cells."""
-    return F.floor(lat * KM_PER_DEGREE / spacing_km).cast("bigint"), F.floor(lon / cell_width(spacing_km, max_abs_lat)).cast("bigint")
+    A row at a pole, where longitudes do not matter, has cells wider than the globe.
+    """
+    highest = F.greatest(F.abs(row), F.abs(row + 1)) * F.lit(spacing_km / KM_PER_DEGREE)
+    width = F.when(highest < 89.9999, F.lit(spacing_km / KM_PER_DEGREE * (1 + 1e-6)) / F.cos(F.radians(highest))).otherwise(F.lit(720.0))
+    return F.floor(lon / F.least(width, F.lit(720.0))).cast("bigint")
 
 
 def popup(stratum: Column, lat: Column, lon: Column) -> Column:

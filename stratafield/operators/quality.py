@@ -38,11 +38,15 @@ def duplicate_count(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def coordinate_range(df: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
     """One row: least and greatest number of each column, rounded."""
+    return df.agg(*_ranges(df, columns, digits))
+
+
+def _ranges(df: DataFrame, columns: list[str], digits: int) -> list[Column]:
     each = []
     for c in columns:
         number = F.when(~missing(df, c), F.col(c))
         each += [F.bround(F.min(number), digits).alias(f"min_{c}"), F.bround(F.max(number), digits).alias(f"max_{c}")]
-    return df.agg(*each)
+    return each
 
 
 def quota_status(strata: DataFrame, points: DataFrame) -> DataFrame:
@@ -53,7 +57,8 @@ def quota_status(strata: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def report(points: DataFrame) -> DataFrame:
-    """One row of checks: one scan for counts and ranges, one grouping for duplicates."""
-    ranges = coordinate_range(points, ["lat", "lon"])
-    counts = points.agg(F.count("*").alias("n_rows"), null_count(points).alias("n_missing"))
-    return counts.crossJoin(F.broadcast(duplicate_count(points, ["lat", "lon"]))).crossJoin(F.broadcast(ranges))  # one row each
+    """One row of checks, from one scan and one grouping by place."""
+    here = points.withColumn("__missing", reduce(lambda a, b: a + b, [missing(points, c).cast("bigint") for c in points.columns]))
+    places = here.groupBy("lat", "lon").agg(F.count("*").alias("__n"), F.sum("__missing").alias("__missing"))
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return places.agg(whole("__n").alias("n_rows"), whole("__missing").alias("n_missing"), whole(F.col("__n") - 1).alias("duplicates"), *_ranges(points, ["lat", "lon"], 2))

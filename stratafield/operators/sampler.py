@@ -4,7 +4,8 @@ A stratum takes its candidates in draw order: on land, and no taken point of any
 one batch of draws that is the first maximal independent set of the conflict graph in draw order: who has no earlier
 neighbour left is taken, who has a taken earlier neighbour is out, until few are undecided (Blelloch, Fineman and Shun,
 2012); those few, of a fixed number at most, are decided in order by one task. The quota's cut comes after it, for taking depends on earlier draws alone. Strata follow each other, since a cut
-changes what blocks the next one.
+changes what blocks the next one. A batch takes as many draws as the last one's yield asks for, each round is written to
+the shared folder, and what has been taken so far is read back as one table.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ from pyspark.sql import functions as F
 
 from stratafield.functions.geo import bounding_box, round6
 from stratafield.operators.spacing import away_from, conflicts
-from stratafield.session import materialize
+from stratafield.session import materialize, read_written
 from stratafield.sources.points import POINT_SCHEMA
 
 
 #: Edges (earlier, later) that one task decides in order, 16 bytes each; beyond that, all tasks decide in rounds.
-FEW_EDGES = 200_000
+FEW_EDGES = 20_000
+#: Places of a quota up to which the first rows are found by one task's merge; beyond that, rows are numbered by ranges.
+FEW_PLACES = 100_000
 
 
 def _refuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,43 +59,60 @@ def first_independent(points: DataFrame, edges: DataFrame, key: str, few: int =
     return points
 
 
-def fill_stratum(draw: Callable[[int, int], DataFrame], quota: int, accepted: DataFrame, spacing_km: float, max_abs_lat: float, on_land: Callable[[DataFrame], DataFrame] | None = None, attempts: int | None = None, batch: int | None = None) -> tuple[DataFrame, int]:
-    """(taken points, how many). draw(first, past): candidates (attempt_no, lat, lon) of those attempts; accepted: rounded lat and lon."""
+def first_rows(df: DataFrame, order: str, n: int, few: int | None = None) -> DataFrame:
+    """The first n rows in order of a column."""
+    if n <= (FEW_PLACES if few is None else few):
+        return df.orderBy(order).limit(n)
+    return assign_ids(df, [order], "__place").where(F.col("__place") <= n).drop("__place")
+
+
+def fill_stratum(draw: Callable[[int, int], DataFrame], quota: int, accepted: DataFrame, spacing_km: float, on_land: Callable[[DataFrame], DataFrame] | None = None, attempts: int | None = None, per_place: float = 8.0) -> tuple[list[DataFrame], int, int]:
+    """(tables of taken points, how many, of how many draws). draw(first, past): candidates (attempt_no, lat, lon) of those attempts; accepted: rounded lat and lon.
+
+    per_place: draws of the first batch for each place of the quota.
+    """
     attempts = quota * 150 if attempts is None else attempts
-    have, first, step = 0, 0, batch or max(256, 4 * quota)
-    taken: DataFrame | None = None
+    have, first, step = 0, 0, max(1024, int(per_place * quota))
+    taken: list[DataFrame] = []
     while have < quota and first < attempts:
         past = min(attempts, first + step)
         points = draw(first, past)
         if on_land:
             points = on_land(points)
-        before = accepted if taken is None else accepted.unionByName(taken.select(round6(F.col("lat")).alias("lat"), round6(F.col("lon")).alias("lon")))
-        points = materialize(away_from(points, before, "attempt_no", spacing_km, max_abs_lat), "free")
-        chosen = first_independent(points, conflicts(points, "attempt_no", spacing_km, max_abs_lat), "attempt_no")
-        chosen = materialize(chosen.orderBy("attempt_no").limit(quota - have), "taken")
-        have += chosen.count()
-        taken = chosen if taken is None else taken.unionByName(chosen)
-        first, step = past, step * 4
-    if taken is None:
-        taken = draw(0, 0).limit(0)
-    return taken, have
-
-
-def sample(draws: list[tuple[str, int, Callable[[int, int], DataFrame]]], empty: DataFrame, spacing_km: float = 1.0, max_abs_lat: float = 70.0, on_land=None, attempts_per_point: int = 150, bbox_size_m: float = 256.0, attempts: dict[str, int] | None = None, log=None) -> DataFrame:
+        before = accepted
+        if taken:
+            before = accepted.unionByName(read_written(taken).select(round6(F.col("lat")).alias("lat"), round6(F.col("lon")).alias("lon")))
+        points = materialize(away_from(points, before, spacing_km), "free")
+        chosen = first_independent(points, conflicts(points, "attempt_no", spacing_km), "attempt_no")
+        taken.append(materialize(first_rows(chosen, "attempt_no", quota - have), "taken"))
+        have += taken[-1].count()
+        first = past
+        # Half as many again as the yield so far asks for, and four times the last batch at most.
+        step = min(4 * step, max(256, int(1.5 * (quota - have) * past / have) if have else 4 * step))
+    return taken, have, first
+
+
+def sample(draws: list[tuple[str, int, Callable[[int, int], DataFrame]]], empty: DataFrame, spacing_km: float = 1.0, on_land=None, attempts_per_point: int = 150, bbox_size_m: float = 256.0, attempts: dict[str, int] | None = None, log=None) -> DataFrame:
     """The table of points, ids 1..n in stratum and draw order. draws: (stratum, quota, draw) in the order of filling.
 
     A stratum that cannot be filled is reported to `log` and the next one goes on. `empty` is any frame with lat and lon
     whose points block all strata (none, usually).
     """
-    accepted, parts = empty.select("lat", "lon"), []
+    blocked, tables, parts = empty.select("lat", "lon"), [], []
+    places = drawn = 0
     for order, (stratum, quota, draw) in enumerate(draws):
         limit = attempts[stratum] if attempts else quota * attempts_per_point
-        taken, have = fill_stratum(draw, quota, accepted, spacing_km, max_abs_lat, on_land, limit)
+        accepted = blocked
+        if tables:
+            accepted = blocked.unionByName(read_written(tables).select(round6(F.col("lat")).alias("lat"), round6(F.col("lon")).alias("lon")))
+        yielded = {"per_place": 1.5 * drawn / places} if places else {}  # what the strata so far took
+        taken, have, tries = fill_stratum(draw, quota, accepted, spacing_km, on_land, limit, **yielded)
+        places, drawn = places + have, drawn + tries
         if log:
             (log.warning if have < quota else log.info)(f"{stratum}: {have}/{quota} points")
-        taken = taken.select(F.lit(order).alias("stratum_ord"), F.lit(stratum).alias("stratum"), "attempt_no", "lat", "lon")
-        parts.append(taken)
-        accepted = accepted.unionByName(taken.select(round6(F.col("lat")).alias("lat"), round6(F.col("lon")).alias("lon")))
+        if taken:
+            tables += taken
+            parts.append(read_written(taken).select(F.lit(order).alias("stratum_ord"), F.lit(stratum).alias("stratum"), "attempt_no", "lat", "lon"))
     spark = empty.sparkSession
     if not parts:
         return spark.createDataFrame([], POINT_SCHEMA)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafield.operators.candidates import candidates
-from stratafield.operators.land import on_land
+from stratafield.operators.land import on_land, prepare
 from stratafield.operators.quality import quota_status, value_counts
 from stratafield.operators.sampler import sample
 from stratafield.sources.catalogue import SamplingParameters, get_logger, regions_frame, strata_frame
@@ -16,16 +16,16 @@ def generate_points(spark: SparkSession, parameters: SamplingParameters, regions
     """Points of all strata; land: edges, or None for no land rule."""
     strata = strata_frame(spark, parameters.quotas.items())
     boxes = regions_frame(spark, regions)
-    highest = max((abs(x) for bs in regions.values() for b in bs for x in b[:2]), default=0.0)
 
     def draw_of(stratum: str):
         mine = strata.where(F.col("stratum") == stratum)
         return lambda first, past: candidates(mine, boxes, first, past, parameters.seed, parameters.attempts_per_point).select("attempt_no", "lat", "lon")
 
-    rule = (lambda points: on_land(points, land, "attempt_no", buffer_deg)) if land is not None else None
+    ground = prepare(land, buffer_deg) if land is not None else None
+    rule = (lambda points: on_land(points, ground)) if ground else None
     empty = spark.createDataFrame([], "lat double, lon double")
     draws = [(name, quota, draw_of(name)) for name, quota in parameters.quotas.items()]
-    return sample(draws, empty, parameters.min_spacing_km, min(highest + 1.0, 89.0), rule, parameters.attempts_per_point, parameters.bbox_size_m, log=get_logger("stratafield", parameters.log_level))
+    return sample(draws, empty, parameters.min_spacing_km, rule, parameters.attempts_per_point, parameters.bbox_size_m, log=get_logger("stratafield", parameters.log_level, parameters.log_file))
 
 
 def summary(points: DataFrame, strata: DataFrame, rows: int = 10) -> dict:

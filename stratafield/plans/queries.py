@@ -6,22 +6,26 @@ one small box by draws that both engines can make from MD5.
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafield.functions.captions import label, stratum_rules, template_caption
 from stratafield.functions.geo import between, bounding_box, round6, tile_key, uniform
 from stratafield.operators import land, pixels, quality, spacing
+from stratafield.operators.candidates import candidates as candidate_draws
 from stratafield.operators.candidates import first_of_each, pick_region
 from stratafield.operators.sampler import assign_ids, sample, shape
 from stratafield.session import own_folder
 from stratafield.sources import points as sink
 from stratafield.sources import remote
-from stratafield.sources.catalogue import strata_frame
+from stratafield.sources.catalogue import regions_frame, strata_frame
 from stratafield.sources.land import edges_frame
 
 QUOTAS = (("1-URGENT", 300), ("2-HIGH", 300), ("3-MEDIUM", 200), ("4-NOT SPECIFIED", 100), ("5-LOW", 50))
-LAT, LON, SPACING, MAX_LAT = (48.0, 50.0), (-2.0, 1.0), 1.0, 67.5
+LAT, LON, SPACING = (48.0, 50.0), (-2.0, 1.0), 1.0
 #: Made-up polygons (x, y): a square with a hole, and a triangle.
 LAND = ([[(-1.8, 48.2), (-0.2, 48.2), (-0.2, 49.8), (-1.8, 49.8)], [(-1.2, 48.8), (-0.8, 48.8), (-0.8, 49.2), (-1.2, 49.2)]], [[(0.1, 48.1), (0.9, 48.4), (0.4, 49.9)]])
 BUFFER = 0.05
@@ -39,6 +43,10 @@ def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("stratum"), key.alias("attempt_no"), lat.alias("lat"), lon.alias("lon"))
 
 
+def _own(spark: SparkSession, name: str) -> str:
+    return f"{own_folder(spark)}/{uuid.uuid4().hex}-{name}"
+
+
 def strata(spark: SparkSession) -> DataFrame:
     return strata_frame(spark, QUOTAS)
 
@@ -108,26 +116,26 @@ def bbox(spark, sf_dir):
 
 @query(f"WITH {PLACED}, {_ROUNDED} SELECT a.attempt_no AS earlier, b.attempt_no AS later FROM rounded a JOIN placed b ON a.attempt_no < b.attempt_no WHERE {_DISTANCE} < {SPACING}")
 def spacing_conflicts(spark, sf_dir):
-    return spacing.conflicts(placed(spark, sf_dir), "attempt_no", SPACING, MAX_LAT)
+    return spacing.conflicts(placed(spark, sf_dir), "attempt_no", SPACING)
 
 
-@query(f"WITH {PLACED}, {_ROUNDED} SELECT b.attempt_no, {_LATLON} FROM placed b WHERE b.stratum = '5-LOW' AND NOT EXISTS (SELECT 1 FROM rounded a WHERE a.stratum = '1-URGENT' AND {_DISTANCE} < {SPACING})")
+@query(f"WITH {PLACED}, {_ROUNDED} SELECT b.attempt_no, {_LATLON} FROM placed b WHERE b.stratum <> '1-URGENT' AND NOT EXISTS (SELECT 1 FROM rounded a WHERE a.stratum = '1-URGENT' AND {_DISTANCE} < {SPACING})")
 def spacing_anti_join(spark, sf_dir):
     points = placed(spark, sf_dir)
     accepted = points.where("stratum = '1-URGENT'").select(round6(F.col("lat")).alias("lat"), round6(F.col("lon")).alias("lon"))
-    free = spacing.away_from(points.where("stratum = '5-LOW'"), accepted, "attempt_no", SPACING, MAX_LAT)
+    free = spacing.away_from(points.where("stratum <> '1-URGENT'"), accepted, SPACING)
     return free.select("attempt_no", round6(F.col("lat")).alias("lat"), round6(F.col("lon")).alias("lon"))
 
 
 @query(f"WITH {PLACED}, {EDGES} SELECT attempt_no, {_LATLON} FROM placed WHERE attempt_no IN ({INSIDE})")
 def land_mask(spark, sf_dir):
-    kept = land.on_land(placed(spark, sf_dir), edges_frame(spark, LAND), "attempt_no")
+    kept = land.on_land(placed(spark, sf_dir), land.prepare(edges_frame(spark, LAND)))
     return kept.select("attempt_no", round6(F.col("lat")).alias("lat"), round6(F.col("lon")).alias("lon"))
 
 
 @query(f"WITH {PLACED}, {EDGES} SELECT attempt_no, {_LATLON} FROM placed WHERE attempt_no IN ({INSIDE}) OR attempt_no IN ({NEAR})")
 def land_mask_buffered(spark, sf_dir):
-    kept = land.on_land(placed(spark, sf_dir), edges_frame(spark, LAND), "attempt_no", BUFFER)
+    kept = land.on_land(placed(spark, sf_dir), land.prepare(edges_frame(spark, LAND), BUFFER))
     return kept.select("attempt_no", round6(F.col("lat")).alias("lat"), round6(F.col("lon")).alias("lon"))
 
 
@@ -144,10 +152,26 @@ def stratified_quota(spark, sf_dir):
     return _cut(spark, sf_dir).groupBy("stratum").agg(F.count("*").alias("n"))
 
 
-@query(None)
+#: The loop over draws, as a fold: an accepted point joins the list that later ones are held against.
+_SAMPLER = f"""WITH {STRATA}, {PLACED}, {EDGES},
+land AS (SELECT * FROM placed WHERE attempt_no IN ({INSIDE}) OR attempt_no IN ({NEAR})),
+draws AS (
+  SELECT coalesce(list([{{'k': stratum_ord, 'q': quota, 'a': attempt_no, 'lat': lat, 'lon': lon, 'rlat': round_even(lat, 6), 'rlon': round_even(lon, 6), 'c': cos(radians(lat))}}] ORDER BY stratum_ord, attempt_no), []) AS d
+  FROM land JOIN strata USING (stratum)),
+folded AS (
+  SELECT unnest(list_reduce(d, lambda acc, x: CASE
+    WHEN len(list_filter(acc, lambda p: p.k = x[1].k)) >= x[1].q THEN acc
+    WHEN len(list_filter(acc, lambda p: sqrt((abs(x[1].lat - p.rlat) * 111.32::DOUBLE) ** 2 + (abs(x[1].lon - p.rlon) * 111.32::DOUBLE * x[1].c) ** 2) < {SPACING})) > 0 THEN acc
+    ELSE list_concat(acc, x) END, [])) AS p
+  FROM draws),
+taken AS (SELECT p.k AS k, p.a AS a, p.lat AS lat, p.lon AS lon FROM folded)
+SELECT row_number() OVER (ORDER BY k, a) AS id, {_LATLON}, stratum, {_BBOX} FROM taken JOIN strata ON k = stratum_ord"""
+
+
+@query(_SAMPLER)
 def sampler(spark, sf_dir):
     points = placed(spark, sf_dir)
-    on = edges_frame(spark, LAND)
+    ground = land.prepare(edges_frame(spark, LAND), BUFFER)
     whole = {r.stratum: r.past for r in points.groupBy("stratum").agg((F.max("attempt_no") + 1).alias("past")).collect()}  # a row for each stratum
 
     def draw_of(stratum):
@@ -155,7 +179,23 @@ def sampler(spark, sf_dir):
         return lambda first, past: mine.where((F.col("attempt_no") >= first) & (F.col("attempt_no") < past))
 
     draws = [(s, q, draw_of(s)) for s, q in QUOTAS if s in whole]
-    return sample(draws, spark.createDataFrame([], "lat double, lon double"), SPACING, MAX_LAT, lambda p: land.on_land(p, on, "attempt_no", BUFFER), attempts=whole)
+    return sample(draws, spark.createDataFrame([], "lat double, lon double"), SPACING, lambda p: land.on_land(p, ground), attempts=whole)
+
+
+_SEED, _PER_POINT = 7, 150
+_KEY = f"'{_SEED}|' || stratum || '|' || attempt_no"
+
+
+@query(f"""WITH {STRATA}, {_BOXES}, drawn AS (
+  SELECT *, floor({_u('region', '(' + _KEY + ')')} * {len(BOXES)})::INTEGER AS region_idx
+  FROM (SELECT stratum_ord, stratum, unnest(range(quota * {_PER_POINT}))::BIGINT AS attempt_no FROM strata))
+SELECT stratum_ord::INTEGER AS stratum_ord, stratum, attempt_no, region_idx, round_even(lat_lo + (lat_hi - lat_lo) * {_u('lat', '(' + _KEY + ')')}, 6) AS lat, round_even(lon_lo + (lon_hi - lon_lo) * {_u('lon', '(' + _KEY + ')')}, 6) AS lon
+FROM drawn JOIN boxes USING (region_idx)""")
+def candidate_stream(spark, sf_dir):
+    """All attempts that the quotas allow, and none past them, however many are asked for."""
+    regions = regions_frame(spark, {s: list(BOXES) for s, _ in QUOTAS})
+    drawn = candidate_draws(strata(spark), regions, 0, 1 << 40, _SEED, _PER_POINT)
+    return drawn.withColumns({"lat": round6(F.col("lat")), "lon": round6(F.col("lon"))})
 
 
 @query(_QUOTA_CUT + " SELECT row_number() OVER (ORDER BY stratum_ord, attempt_no) AS id, stratum, attempt_no FROM kept", "assign_ids")
@@ -169,16 +209,17 @@ def point_records(spark, sf_dir):
     return shape(assign_ids(points, ["stratum_ord", "attempt_no"]))
 
 
-@query(f"WITH {PLACED} SELECT stratum, attempt_no FROM placed WHERE stratum = '1-URGENT' UNION ALL SELECT stratum, attempt_no FROM placed WHERE stratum = '5-LOW'")
+@query("SELECT o_orderpriority AS stratum, o_orderkey AS attempt_no FROM orders UNION ALL SELECT 'customers', c_custkey FROM customer")
 def union_strata(spark, sf_dir):
     points = placed(spark, sf_dir).select("stratum", "attempt_no")
-    return points.where("stratum = '1-URGENT'").unionByName(points.where("stratum = '5-LOW'"))
+    more = table(spark, sf_dir, "customer").select(F.lit("customers").alias("stratum"), F.col("c_custkey").alias("attempt_no"))
+    return points.unionByName(more)
 
 
-@query(f"WITH {STRATA}, c AS (SELECT o_orderpriority AS stratum, count(*) AS n FROM orders WHERE o_orderpriority < '4' GROUP BY 1) SELECT stratum, quota::INTEGER AS quota, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) < quota THEN 'short' ELSE 'filled' END AS status FROM strata LEFT JOIN c USING (stratum)")
+@query(f"WITH {STRATA}, c AS (SELECT o_orderpriority AS stratum, count(*) AS n FROM orders GROUP BY 1) SELECT stratum, quota::INTEGER AS quota, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) < quota THEN 'short' ELSE 'filled' END AS status FROM (SELECT stratum, quota FROM strata UNION ALL VALUES ('no such stratum', 5), ('also none', 0)) LEFT JOIN c USING (stratum)")
 def quota_status(spark, sf_dir):
-    points = table(spark, sf_dir, "orders").where("o_orderpriority < '4'").select(F.col("o_orderpriority").alias("stratum"))
-    return quality.quota_status(strata(spark), points)
+    points = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("stratum"))
+    return quality.quota_status(strata_frame(spark, [*QUOTAS, ("no such stratum", 5), ("also none", 0)]), points)
 
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY event_type")
@@ -265,9 +306,17 @@ def manifest_check(spark, sf_dir):
     return remote.check_manifest(manifest, table(spark, sf_dir, "nation").select(F.col("n_name").alias("path")))
 
 
-@query("SELECT count(*) AS n FROM pages WHERE trim(url) <> ''")
+@query("SELECT count(DISTINCT n_regionkey) AS n, true AS any_bytes FROM nation")
 def listing_count(spark, sf_dir):
-    return table(spark, sf_dir, "pages").where(F.trim("url") != "").agg(F.count("*").alias("n"))
+    """Files of nations by region, one each, as a listing of their folders finds them."""
+    path = _own(spark, "nation-by-region")
+    sink.save_partitioned(table(spark, sf_dir, "nation").repartition("n_regionkey"), path, "n_regionkey")
+    return remote.listing(spark, path, "*.parquet").agg(F.count("*").alias("n"), F.coalesce(F.min("length") > 0, F.lit(True)).alias("any_bytes"))
+
+
+@query("SELECT page_id, len(list_filter(string_split(regexp_replace(html, '^\\s+|\\s+$', '', 'g'), chr(10)), lambda x: x <> ''))::INTEGER AS n_lines FROM pages")
+def listing_split(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.size(remote.listing_lines(F.col("html"))).alias("n_lines"))
 
 
 @query("SELECT trim(min(url)) AS first_line FROM pages")
@@ -275,11 +324,16 @@ def first_listing(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(F.trim("url").alias("first_line")).orderBy("first_line").limit(1)
 
 
-@query(f"WITH {PLACED}, grid AS (SELECT ((p_partkey - 1) // 20)::INTEGER AS px_row, ((p_partkey - 1) % 20)::INTEGER AS px_col, p_retailprice AS value FROM part WHERE p_partkey <= 400), c AS (SELECT attempt_no, floor((50.0 - lat) / 0.1::DOUBLE)::INTEGER AS px_row, floor((lon - -2.0) / 0.1::DOUBLE)::INTEGER AS px_col FROM placed) SELECT attempt_no, px_row, px_col, value FROM c LEFT JOIN grid USING (px_row, px_col)")
+@query(f"""WITH {PLACED}, w AS (SELECT ceil(sqrt(count(*) * 1.5::DOUBLE))::BIGINT AS n FROM part),
+grid AS (SELECT ((p_partkey - 1) // n)::INTEGER AS px_row, ((p_partkey - 1) % n)::INTEGER AS px_col, p_retailprice AS value FROM part, w),
+c AS (SELECT attempt_no, floor((50.0::DOUBLE - lat) / (3.0::DOUBLE / n))::INTEGER AS px_row, floor((lon - -2.0::DOUBLE) / (3.0::DOUBLE / n))::INTEGER AS px_col FROM placed, w)
+SELECT attempt_no, px_row, px_col, value FROM c LEFT JOIN grid USING (px_row, px_col)""")
 def pixel_lookup(spark, sf_dir):
-    n = F.col("p_partkey") - 1
-    grid = table(spark, sf_dir, "part").where("p_partkey <= 400").select(F.floor(n / 20).cast("int").alias("px_row"), (n % 20).cast("int").alias("px_col"), F.col("p_retailprice").alias("value"))
-    return pixels.lookup(placed(spark, sf_dir).select("attempt_no", "lat", "lon"), grid, 50.0, -2.0, 0.1).select("attempt_no", "px_row", "px_col", "value")
+    """All parts make one raster over the box of the points, half as wide again as high."""
+    part, n = table(spark, sf_dir, "part"), F.col("p_partkey") - 1
+    width = math.ceil(math.sqrt(part.count() * 1.5))
+    grid = part.select(F.floor(n / width).cast("int").alias("px_row"), (n % width).cast("int").alias("px_col"), F.col("p_retailprice").alias("value"))
+    return pixels.lookup(placed(spark, sf_dir).select("attempt_no", "lat", "lon"), grid, 50.0, -2.0, 3.0 / width).select("attempt_no", "px_row", "px_col", "value")
 
 
 @query(f"WITH {PLACED}, t AS (SELECT attempt_no, (floor((lat - 49) / 3) * 3)::INTEGER AS y, (floor(lon / 3) * 3)::INTEGER AS x FROM placed) SELECT attempt_no, printf('ESA_WorldCover_10m_2021_v200_%s%02d%s%03d_Map.tif', CASE WHEN y < 0 THEN 'S' ELSE 'N' END, abs(y), CASE WHEN x < 0 THEN 'W' ELSE 'E' END, abs(x)) AS tile FROM t", "tile_key")
@@ -292,19 +346,32 @@ def sample_rows(spark, sf_dir):
     return candidates(spark, sf_dir).select("attempt_no", "stratum", "lat", "lon").orderBy("attempt_no").limit(10)
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+_NOTE = ("NULL", "''", "' a '", "'q\"u,o'", "'N/A'", "n_name")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, CASE n_nationkey % 6 " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(_NOTE)) + " END AS note FROM nation")
 def csv_roundtrip(spark, sf_dir):
-    import uuid
+    """Nulls, empty strings, blanks, quotes and commas come back as they were."""
+    path = _own(spark, "nation.csv")
+    note = F.expr("CASE n_nationkey % 6 " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(_NOTE)) + " END")
+    sink.save_csv(table(spark, sf_dir, "nation").withColumn("note", note), path, files=1)
+    return sink.read_csv(spark, path, "n_nationkey int, n_name string, n_regionkey int, note string")
+
+
+@query("SELECT o_orderpriority AS stratum, count(*) AS n FROM orders GROUP BY 1")
+def partitioned_sink(spark, sf_dir):
+    path = _own(spark, "by-stratum")
+    sink.save_partitioned(placed(spark, sf_dir), path)
+    return spark.read.parquet(path).groupBy("stratum").agg(F.count("*").alias("n"))
+
 
-    nation = table(spark, sf_dir, "nation")
-    path = f"{own_folder(spark)}/{uuid.uuid4().hex}-nation.csv"
-    sink.save_csv(nation, path, files=1)
-    return sink.read_csv(spark, path, "n_nationkey int, n_name string, n_regionkey int")
+_RULES_SQL = {"agricultural": "user_id % 3 / 2 > 0.5 AND value / 100 > 0.6", "forest": "value / 100 > 0.6 AND (event_id % 10) / 10 < 0.3", "coastal": "user_id % 40 < 10 AND event_id % 5 / 4 < 0.5", "arid": "user_id % 1000 < 250", "alpine": "event_id % 3000 > 1500", "informal_settlements": "(user_id % 10) / 10 > 0.7 AND (event_id % 10) / 10 < 0.3", "water_wetland": "event_id % 5 / 4 > 0.5"}
 
 
-@query("SELECT event_id, value / 100 > 0.6 AS agricultural, value / 100 > 0.6 AND (event_id % 10) / 10 < 0.3 AS forest, (user_id % 10) / 10 > 0.7 AND (event_id % 10) / 10 < 0.3 AS informal_settlements FROM events", "stratum_rules")
+@query("SELECT event_id, " + ", ".join(f"{v} AS {k}" for k, v in _RULES_SQL.items()) + " FROM events", "stratum_rules")
 def stratum_rule_flags(spark, sf_dir):
-    rules = stratum_rules(F.col("value") / 100, (F.col("event_id") % 10) / 10, (F.col("user_id") % 10) / 10)
+    event, user = F.col("event_id"), F.col("user_id")
+    rules = stratum_rules(F.col("value") / 100, (event % 10) / 10, (user % 10) / 10, user % 3 / 2, user % 40, user % 1000, event % 3000, event % 5 / 4)
     return table(spark, sf_dir, "events").select("event_id", *[c.alias(n) for n, c in rules.items()])
 
 

@@ -55,7 +55,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: plans start there, and a lost executor costs nothing before it."""
     path = f"{own_folder(df.sparkSession)}/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def read_written(tables: list[DataFrame]) -> DataFrame:
+    """Tables of one schema that materialize() wrote, as one scan."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[t.written_to for t in tables])
 
 
 def clear(spark: SparkSession) -> None:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import logging
 import os
+import threading
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 STRATA_SCHEMA = "stratum_ord int, stratum string, quota int"
 REGION_SCHEMA = "stratum string, region_idx int, lat_lo double, lat_hi double, lon_lo double, lon_hi double"
@@ -21,6 +22,7 @@ class SamplingParameters:
     attempts_per_point: int = 150
     seed: int = 0
     log_level: str = "INFO"
+    log_file: str | None = None
     other: dict = field(default_factory=dict)
 
     @property
@@ -37,8 +39,8 @@ def load_config(path: str = "configs/config.yaml") -> dict:
 
 
 def parameters(config: dict) -> SamplingParameters:
-    s = config.get("sampling", {})
-    return SamplingParameters(dict(s.get("strata", {})), float(s.get("min_spacing_km", 1.0)), float(s.get("bbox_size_m", 256)), log_level=config.get("logging", {}).get("level", "INFO"), other={k: v for k, v in config.items() if k not in ("sampling", "logging")})
+    s, log = config.get("sampling", {}), config.get("logging", {})
+    return SamplingParameters(dict(s.get("strata", {})), float(s.get("min_spacing_km", 1.0)), float(s.get("bbox_size_m", 256)), int(s.get("attempts_per_point", 150)), int(s.get("seed", 0)), log.get("level", "INFO"), log.get("log_file"), other={k: v for k, v in config.items() if k not in ("sampling", "logging")})
 
 
 def strata_frame(spark: SparkSession, quotas: Iterable[tuple[str, int]]) -> DataFrame:
@@ -53,6 +55,34 @@ def regions_frame(spark: SparkSession, regions: dict[str, list[tuple[float, floa
     return spark.createDataFrame(rows, REGION_SCHEMA)
 
 
+def regions(tree: dict) -> dict[str, list[tuple[float, float, float, float]]]:
+    """stratum -> boxes, from a loaded file: a stratum's boxes, or a mapping that has them under `regions`.
+
+    A box is [[lat_lo, lat_hi], [lon_lo, lon_hi]] or its four numbers.
+    """
+    out = {}
+    for stratum, said in tree.items():
+        boxes = said.get("regions", []) if isinstance(said, dict) else said or []
+        out[stratum] = [tuple(float(x) for part in box for x in (part if isinstance(part, (list, tuple)) else [part])) for box in boxes]
+        if bad := [b for b in out[stratum] if len(b) != 4]:
+            raise ValueError(f"{stratum}: a box has four numbers, not {bad[0]}")
+    return out
+
+
+def load_regions(path: str) -> dict[str, list[tuple[float, float, float, float]]]:
+    """Regions of a YAML or JSON file, of the whole tree or what it has under `strata`."""
+    tree = load_config(path)
+    return regions(tree.get("strata", tree))
+
+
+def log_counts(logger: logging.Logger, df: DataFrame, name: str, **counts) -> DataFrame:
+    """df, whose counts (columns of aggregates) are logged once some action has read it; no pass of its own is made."""
+    seen = Observation(name)
+    watched = df.observe(seen, *[c.alias(k) for k, c in counts.items()])
+    threading.Thread(target=lambda: logger.info(f"{name}: " + ", ".join(f"{k} {v}" for k, v in seen.get.items())), daemon=True).start()
+    return watched
+
+
 def get_logger(name: str, level: str = "INFO", path: str | None = None) -> logging.Logger:
     """Console logger, and a file if a path is given; handlers are attached once for each name."""
     logger = logging.getLogger(name)

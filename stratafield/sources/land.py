@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EDGE_SCHEMA = "poly_id int, ring_id int, seq int, x1 double, y1 double, x2 double, y2 double"
+EDGE_SCHEMA = "poly_id bigint, ring_id int, seq int, x1 double, y1 double, x2 double, y2 double"
 
 
 def edges_frame(spark: SparkSession, polygons: Iterable[Iterable[Iterable[tuple[float, float]]]]) -> DataFrame:
@@ -24,16 +24,16 @@ def edges_frame(spark: SparkSession, polygons: Iterable[Iterable[Iterable[tuple[
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Edges of Polygon and MultiPolygon features of a GeoJSON collection."""
+    """Edges of Polygon and MultiPolygon features of GeoJSON collections; a polygon is told apart by file, feature and part."""
     schema = "features array<struct<geometry:struct<type:string,coordinates:string>>>"
-    shapes = spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("features").alias("f", "feature"))
+    shapes = spark.read.schema(schema).option("multiLine", True).json(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode("features").alias("f", "feature"))
     kind, raw = F.col("feature.geometry.type"), F.col("feature.geometry.coordinates")
     one = F.array(F.from_json(raw, "array<array<array<double>>>"))
     polygons = F.when(kind == "Polygon", one).when(kind == "MultiPolygon", F.from_json(raw, "array<array<array<array<double>>>>"))
-    rings = shapes.select("f", F.posexplode(polygons).alias("p", "rings")).select("f", "p", F.posexplode("rings").alias("ring_id", "ring"))
-    points = rings.select("f", "p", "ring_id", F.posexplode("ring").alias("seq", "a"), "ring").where(F.col("seq") < F.size("ring") - 1)
+    rings = shapes.select("file", "f", F.posexplode(polygons).alias("p", "rings")).select("file", "f", "p", F.posexplode("rings").alias("ring_id", "ring"))
+    points = rings.select("file", "f", "p", "ring_id", F.posexplode("ring").alias("seq", "a"), "ring").where(F.col("seq") < F.size("ring") - 1)
     b = F.get("ring", F.col("seq") + 1)
-    return points.select(F.xxhash64("f", "p").alias("poly_key"), "ring_id", "seq", F.col("a")[0].alias("x1"), F.col("a")[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2"))
+    return points.select(F.xxhash64("file", "f", "p").alias("poly_id"), "ring_id", "seq", F.col("a")[0].alias("x1"), F.col("a")[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2"))
 
 
 def shapefile_edges(content: bytes) -> Iterator[tuple]:
@@ -56,13 +56,18 @@ def shapefile_edges(content: bytes) -> Iterator[tuple]:
 
 
 def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
-    """Edges of a .shp file, or of all below a folder; polygons are numbered within a file."""
+    """Edges of a .shp file, or of all in a folder; a polygon, with all its parts, is told apart by file and record."""
     import pandas as pd
 
+    names = [c.split()[0] for c in EDGE_SCHEMA.split(", ")]
+
     def parse(frames):
         for f in frames:
-            for content in f["content"]:
-                yield pd.DataFrame(list(shapefile_edges(content)), columns=[c.split()[0] for c in EDGE_SCHEMA.split(", ")])
+            for file, content in zip(f["path"], f["content"], strict=True):
+                edges = pd.DataFrame(list(shapefile_edges(content)), columns=names)
+                edges.insert(0, "file", file)
+                yield edges
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.shp").load(path)
-    return files.select("content").mapInPandas(parse, EDGE_SCHEMA)
+    edges = files.select("path", "content").mapInPandas(parse, "file string, " + EDGE_SCHEMA)
+    return edges.select(F.xxhash64("file", "poly_id").alias("poly_id"), *names[1:])

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import html
-import json
 import os
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stratafield.functions.geo import popup
 
@@ -28,13 +29,33 @@ COLOURS = {
 DEFAULT_COLOUR = "gray"
 
 
+#: Nulls are empty fields and empty strings are quoted ones; quotes in values are doubled, blanks around values stay.
+_CSV = {"header": True, "nullValue": "", "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+#: What stands for a quoted empty field while a file is read.
+_EMPTY = "\x00"
+#: Fields that other readers of such files take for missing.
+NULL_TOKENS = ("#N/A", "#NA", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
 def save_csv(df: DataFrame, path: str, files: int | None = None) -> None:
     """CSV with a header; one file if files is 1, else as the data is partitioned."""
-    (df.coalesce(files) if files else df).write.mode("overwrite").option("header", True).csv(path)
+    (df.coalesce(files) if files else df).write.mode("overwrite").options(**_CSV, emptyValue='""').csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str = POINT_SCHEMA, null_tokens: Iterable[str] = (), lines_in_values: bool = False) -> DataFrame:
+    """What save_csv wrote, value by value. null_tokens: strings that are null (NULL_TOKENS for files of other programs).
 
+    Values with line breaks need lines_in_values; a file is then read by one task.
+    """
+    df = spark.read.schema(schema).options(**_CSV, emptyValue=_EMPTY, multiLine=lines_in_values).csv(path)
+    tokens = list(null_tokens)
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    return df.withColumns({c: F.when(F.col(c) == _EMPTY, "").when(F.col(c).isin(tokens), None).otherwise(F.col(c)) for c in texts}) if texts else df
 
-def read_csv(spark: SparkSession, path: str, schema: str = POINT_SCHEMA) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
+
+def save_partitioned(df: DataFrame, path: str, by: str = "stratum") -> None:
+    """Parquet with one folder for each value of a column, so that a reader of one stratum opens only its own files."""
+    df.write.mode("overwrite").partitionBy(by).parquet(path)
 
 
 def marker_rows(df: DataFrame, colours: dict[str, str] | None = None) -> DataFrame:
@@ -63,7 +84,3 @@ def geojson_features(df: DataFrame) -> DataFrame:
     geometry = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
     properties = F.struct("stratum", "colour", "popup")
     return marker_rows(df).select(F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties"))).alias("value"))
-
-
-def read_features(line: str) -> dict:
-    return json.loads(line)

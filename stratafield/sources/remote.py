@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import struct
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,12 @@ def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "length")
 
 
+def listing_lines(text: Column) -> Column:
+    """Lines of the text of a listing, without what is blank around it; a blank text has none."""
+    stripped = F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.filter(F.split(stripped, "\n"), lambda line: line != "")
+
+
 def check_manifest(manifest: DataFrame, found: DataFrame, key: str = "path") -> DataFrame:
     """manifest with status: found or missing."""
     there = found.select(key).distinct().withColumn("__there", F.lit(True))
@@ -65,6 +74,46 @@ def tiff_metadata(content: bytes) -> dict:
     return out
 
 
+def tiff_pixels(content: bytes) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, rows of values) of a TIFF of one band in strips, plain or deflated."""
+    order = {b"II": "<", b"MM": ">"}[content[:2]]
+    if struct.unpack(order + "H", content[2:4])[0] != 42:
+        raise ValueError("not a plain TIFF")
+    at = struct.unpack(order + "I", content[4:8])[0]
+    tags: dict[int, tuple] = {258: (1,), 259: (1,), 277: (1,), 317: (1,), 339: (1,)}
+    for i in range(struct.unpack_from(order + "H", content, at)[0]):
+        tag, kind, n = struct.unpack_from(order + "HHI", content, at + 2 + 12 * i)
+        if kind in (1, 3, 4):
+            code = order + str(n) + {1: "B", 3: "H", 4: "I"}[kind]
+            place = at + 10 + 12 * i
+            tags[tag] = struct.unpack_from(code, content, place if struct.calcsize(code) <= 4 else struct.unpack_from(order + "I", content, place)[0])
+    if 273 not in tags or tags[277][0] != 1 or tags[317][0] != 1 or tags[259][0] not in (1, 8, 32946):
+        raise ValueError("only strips of one band, plain or deflated, are read")
+    width, height, rows = tags[256][0], tags[257][0], tags.get(278, tags[257])[0]
+    kind = np.dtype(order + {1: "u", 2: "i", 3: "f"}[tags[339][0]] + str(tags[258][0] // 8))
+    for k, (start, size) in enumerate(zip(tags[273], tags[279], strict=True)):
+        strip = content[start : start + size]
+        if tags[259][0] != 1:
+            strip = zlib.decompress(strip)
+        n = min(rows, height - k * rows)
+        yield k * rows, np.frombuffer(strip, kind, n * width).reshape(n, width)
+
+
+def read_pixels(spark: SparkSession, path: str) -> DataFrame:
+    """(path, px_row, px_col, value) of TIFF files, a strip at a time; a file is read by one task."""
+    import pandas as pd
+
+    def parse(frames):
+        for f in frames:
+            for file, content in zip(f["path"], f["content"], strict=True):
+                for first, rows in tiff_pixels(content):
+                    n, width = rows.shape
+                    yield pd.DataFrame({"path": file, "px_row": np.repeat(np.arange(first, first + n), width), "px_col": np.tile(np.arange(width), n), "value": rows.ravel().astype(float)})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif*").load(path)
+    return files.select("path", "content").mapInPandas(parse, "path string, px_row int, px_col int, value double")
+
+
 def raster_metadata(spark: SparkSession, path: str) -> DataFrame:
     """path, crs, width, height of TIFF files."""
     import pandas as pd

@@ -42,7 +42,7 @@ def test_equals_the_loop(spark, seed, few, monkeypatch):
         df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "attempt_no long, lat double, lon double")
         frames.append((name, quota, lambda a, z, df=df: df.where((F.col("attempt_no") >= a) & (F.col("attempt_no") < z))))
     empty = spark.createDataFrame([], "lat double, lon double")
-    got = sample(frames, empty, 1.0, 60.0, lambda df: df.where("lat < 48.12"), attempts={n: len(p) for n, _, p in draws})
+    got = sample(frames, empty, 1.0, lambda df: df.where("lat < 48.12"), attempts={n: len(p) for n, _, p in draws})
     rows = [(r.id, r.lat, r.lon, r.stratum) for r in got.orderBy("id").collect()]
     assert rows == loop(draws, 1.0, lambda lat, lon: lat < 48.12)
 
@@ -63,6 +63,23 @@ def test_whole_pipeline_is_repeatable_and_keeps_its_rules(spark):
     assert s["total"] == 20 and s["per_stratum"] == {"a": 12, "b": 8} and len(s["sample"]) == 10
 
 
+def test_spacing_holds_at_the_pole(spark):
+    """Points that all longitudes bring together near the pole."""
+    rows = generate_points(spark, SamplingParameters({"cap": 40}, seed=2), {"cap": [(89.85, 90.0, -180.0, 180.0)]}).orderBy("id").collect()
+    assert len(rows) > 5
+    for i, r in enumerate(rows):
+        assert not too_close(r.lat, r.lon, [(x.lat, x.lon) for x in rows[:i]], 0.999)
+
+
+@pytest.mark.parametrize("n", [0, 3, 50, 200])
+def test_first_rows_by_merge_and_by_ranges(spark, n):
+    rng = random.Random(n)
+    df = spark.createDataFrame([(k,) for k in rng.sample(range(1000), 100)], "attempt_no long").repartition(5)
+    want = sorted(r.attempt_no for r in df.collect())[:n]
+    for few in (0, 10**6):
+        assert sorted(r.attempt_no for r in sampler.first_rows(df, "attempt_no", n, few).collect()) == want
+
+
 def test_short_stratum_and_no_strata(spark):
     p = SamplingParameters({"tiny": 50}, attempts_per_point=2)
     assert 0 < generate_points(spark, p, {"tiny": [(0.0, 0.01, 0.0, 0.01)]}).count() < 50
