@@ -2,10 +2,10 @@
 
 Equal fingerprints are one entry. With `blocks` blocks of bits and at most `distance` differing ones, two linked
 fingerprints agree on blocks - distance blocks; each choice of that many blocks is a table, in which a fingerprint's
-chosen bits come first and entries that share them are a group. A group is sorted by Gray rank and indexed: runs of
-entries share a masked bit pattern, runs of runs a smaller one, and a node holds only bits that its parent does not.
-A search adds up the differences on its way down, leaves a node once they are too many, and takes it whole if even
-its free bits cannot make them too many. Of a group only a star of each component leaves the task, never its pairs.
+chosen bits come first. Entries that share the first of these, so many that some thousand entries do, are a group. A
+group is sorted by Gray rank and indexed: runs of entries share a masked bit pattern, runs of runs a smaller one, and a
+node holds only bits that its parent does not. A search adds up the differences on its way down, leaves a node once
+they are too many, and takes it whole if even its free bits cannot make them too many. Of a group only a star of each component leaves the task, never its pairs.
 A large group is cut into parts, and each pair of parts is a task. Distinct fingerprints in reach of each other are
 limited by the number of bit patterns, so copies make no group larger.
 """
@@ -27,7 +27,9 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED = 42
 #: Shingles whose bits are counted at once; entries that are searched at once; node-entry pairs held at once.
 CHUNK, TOGETHER, FRONTIER = 1 << 14, 1 << 14, 1 << 21
-LEAF, FAN = 16, 8
+LEAF, FAN = 4, 8
+#: Entries that share the bits of a group on average, while a table has so many bits to share.
+GROUP = 1024
 
 
 def fingerprint(text: str, words: int = 4) -> int:
@@ -73,8 +75,8 @@ def block_bounds(blocks: int) -> list[tuple[int, int]]:
     return [(a, z - a) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def blocks_for(entries: int, distance: int, most: int = 256) -> int:
-    """Fewest blocks whose tables would have groups of `most` entries on average, were the bits random."""
+def blocks_for(entries: int, distance: int, most: int = 4 * GROUP) -> int:
+    """Fewest blocks whose tables could have groups of `most` entries at most on average, were the bits random."""
     b = distance + 1
     while b < 2 * distance + 2 and entries / 2.0 ** (64 * (b - distance) / b) > most:
         b += 1
@@ -100,6 +102,7 @@ class GrayIndex:
 
     def __init__(self, codes: np.ndarray, group: np.ndarray):
         self.codes = codes
+        self.visited = 0  # pairs of an entry and a node or entry that were compared
         self.levels = []  # of: first child, past the last child, fixed bits, pattern, first entry, past the last entry
         first, count, owner = np.arange(len(codes)), np.ones(len(codes), dtype=np.int64), group
         low, high = codes, codes  # bits that all have, bits that any has
@@ -137,6 +140,7 @@ class GrayIndex:
         q, node, far = queries, self.root[queries], np.zeros(len(queries), dtype=np.uint8)
         for depth in range(len(self.levels) - 1, -1, -1):
             level = self.levels[depth]
+            self.visited += len(q)
             far = far + np.bitwise_count((self.codes[q] ^ level["pattern"][node]) & level["own"][node])
             # Too far; or all its entries come before the query, which has met them from their side.
             keep = (far <= distance) & (level["last"][node] > q + 1)
@@ -156,6 +160,7 @@ class GrayIndex:
                         self._search(side, distance, label)
                 return
             node, q, far = _ranges(level["from"][node], level["to"][node]), np.repeat(q, sizes), np.repeat(far, sizes)
+        self.visited += len(q)
         near = (node > q) & (np.bitwise_count(self.codes[q] ^ self.codes[node]) <= distance)
         self._join(q[near], node[near], label)
 
@@ -179,16 +184,18 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes - first, sizes)
 
 
-def _spread(distinct: DataFrame, distance: int, blocks: int) -> DataFrame:
+def _spread(distinct: DataFrame, distance: int, blocks: int, entries: int) -> DataFrame:
     """(table, key, rank, code) of each fingerprint in each table."""
     bounds = block_bounds(blocks)
     tables = list(combinations(range(blocks), blocks - distance))
+    wanted = max(0, (entries // GROUP).bit_length() - 1)
 
     def run(batches):
         for batch in batches:
             x = batch.column(0).to_numpy().astype(np.int64).view(np.uint64)
             for t, chosen in enumerate(tables):
                 key, moved = first_bits(x, chosen, bounds)
+                key = key >> np.uint64(max(0, sum(bounds[i][1] for i in chosen) - wanted))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, dtype=np.int32)), pa.array(key.view(np.int64)), pa.array((gray_rank(moved) ^ np.uint64(1 << 63)).view(np.int64)), pa.array(x.view(np.int64))], names=["t", "key", "rank", "code"])
 
     return distinct.select("fp").mapInArrow(run, "t int, key long, rank long, code long")
@@ -223,13 +230,14 @@ def _stars(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Reco
         yield search(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def links(distinct: DataFrame, distance: int = 4, part: int = 1500, blocks: int | None = None) -> DataFrame:
+def links(distinct: DataFrame, distance: int = 4, part: int = 2 * GROUP, blocks: int | None = None) -> DataFrame:
     """Pairs (u, v) of distinct fingerprints (column fp) that span the components of the link graph.
 
     A group of more than `part` entries is cut into parts by a hash; each pair of parts is searched as one group.
     """
-    blocks = blocks or blocks_for(distinct.count(), distance)
-    rows = _spread(distinct, distance, blocks)
+    entries = distinct.count()
+    blocks = blocks or blocks_for(entries, distance)
+    rows = _spread(distinct, distance, blocks, entries)
     large = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > part).select("t", "key", F.ceil(F.col("n") / part).cast("int").alias("parts"))
     large = materialize(large, "large-groups")
     parts = F.coalesce("parts", F.lit(1))

@@ -7,15 +7,18 @@ of a prefix is the one piece that ends there and stands next to the last token b
 two (a sequence of tokens is an encoding if each neighbouring pair is). Arcs are compiled when first met and kept.
 
 Two characters that are neighbours in no piece have a boundary between them that no token crosses; there the state
-forgets the past. A chunk of a text therefore maps states to states in a short form: a head up to the first such
-boundary, which depends on the state before, and then a fixed count and a fixed end. Such maps compose, so chunks are
-mapped apart and joined by a prefix scan. Words between markers are arcs of their own, kept with their counts.
+forgets the past. Texts are cut at boundaries into chunks, whose maps do not depend on the state before: one number
+each, kept for short chunks. The numbers of a batch of texts compose by one prefix sum, of which each text takes two
+places. A chunk longer than a block is cut anywhere into blocks, whose maps are made apart, each as the states and counts
+that it goes through from the first state: entered in another state, a block is read until that run meets the kept
+one, from where the kept numbers hold. Such maps compose; a chunk's blocks are joined in rounds of pairs.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -24,18 +27,19 @@ from pyspark.sql import types as T
 from stratafield.llm.common import append_columns
 from stratafield.llm.sentencepiece_codec import MARK, marked_words
 
-#: Characters of a chunk; word arcs and states that a worker keeps before it starts anew.
-CHUNK, KEPT_WORDS, KEPT_STATES = 1 << 16, 700_000, 400_000
+#: Characters of a block, and of a stretch of blocks after which states may be forgotten.
+BLOCK, STRETCH = 1 << 12, 1 << 17
+#: Chunks and states that a worker keeps before it starts anew, and characters of the longest chunk that is kept.
+KEPT_CHUNKS, KEPT_STATES, KEPT_LENGTH = 700_000, 200_000, 48
 
 
 @dataclass(frozen=True)
 class StateMap:
-    """What a chunk does to a state: `head` is read from the state before; if `known`, `count` more tokens and `end` follow."""
+    """What a block does, entered in state 0: the state and the count after each of its characters."""
 
-    head: str
-    known: bool = False
-    count: int = 0
-    end: int = 0
+    text: str
+    states: list[int]
+    counts: list[int]
 
 
 class Transducer:
@@ -52,6 +56,8 @@ class Transducer:
         self.neighbours = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
         self.single = {p for p in self.score if self.merge(p) == [p]}
         self.fits: dict[tuple[str, str], bool] = {}
+        self.words: dict[str, int] = {}  # by what follows the first marker
+        self.chunks: dict[str, int] = {}  # parts of longer words
         self.reset()
 
     @classmethod
@@ -65,7 +71,6 @@ class Transducer:
         self.states = [("", "", ((None, 0),))]
         self.number = {self.states[0]: 0}
         self.arcs: list[dict[str, tuple[int, int]]] = [{}]
-        self.words: dict[str, int] = {}
 
     def merge(self, text: str) -> list[str]:
         """Pair merging of a short string by score, leftmost first."""
@@ -83,7 +88,7 @@ class Transducer:
     def fit(self, left: str, right: str) -> bool:
         key = (left, right)
         if (known := self.fits.get(key)) is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 500_000:
                 self.fits.clear()
             known = self.fits[key] = self.merge(left + right) == [left, right]
         return known
@@ -125,77 +130,106 @@ class Transducer:
             total += more
         return state, total
 
-    def word(self, w: str) -> int:
-        count = self.run(0, MARK + w.replace(" ", MARK))[1]
-        if len(w) <= 48:
-            self.words[w] = count
-        return count
+    def trace(self, text: str, state: int = 0) -> StateMap:
+        """Map of a block, or of one that is entered in another state."""
+        states, counts, total = [], [], 0
+        for c in text:
+            state, more = self.arcs[state].get(c) or self.compile_arc(state, c)
+            total += more
+            states.append(state)
+            counts.append(total)
+        return StateMap(text, states, counts)
 
-    def count_words(self, words: list[str]) -> int:
-        counts = list(map(self.words.get, words))
-        total = sum(filter(None, counts))  # a word has one token at least
-        if None in counts:
-            known = self.words
-            for w in [w for w, n in zip(words, counts, strict=True) if n is None]:
-                total += known.get(w) or self.word(w)
+    def join(self, f: StateMap, g: StateMap) -> StateMap:
+        """First f, then g: g is read from f's end until its kept states are met."""
+        if not f.text or not g.text:
+            return f if f.text else g
+        state, total = f.states[-1], f.counts[-1]
+        states, counts = list(f.states), list(f.counts)
+        for i, c in enumerate(g.text):
+            state, more = self.arcs[state].get(c) or self.compile_arc(state, c)
+            total += more
+            states.append(state)
+            counts.append(total)
+            if state == g.states[i]:
+                states += g.states[i + 1 :]
+                counts += [total - g.counts[i] + n for n in g.counts[i + 1 :]]
+                break
+        return StateMap(f.text + g.text, states, counts)
+
+    def joined(self, maps: list[StateMap]) -> StateMap:
+        """All maps, one after the other, in rounds of pairs that do not depend on each other."""
+        while len(maps) > 1:
+            maps = [self.join(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0]
+
+    def long_chunk(self, text: str, block: int) -> int:
+        """Stretch by stretch; only the last state of a stretch is needed after it."""
+        total, last = 0, self.states[0]
+        for at in range(0, len(text), STRETCH):
+            if len(self.states) > KEPT_STATES:
+                self.reset()
+            stretch = text[at : at + STRETCH]
+            whole = self.joined([self.trace(stretch[i : i + block]) for i in range(0, len(stretch), block)])
+            state = self.number.setdefault(last, len(self.states))
+            if state == len(self.states):
+                self.states.append(last)
+                self.arcs.append({})
+            if state:
+                before = StateMap(" ", [state], [0])
+                whole = self.join(before, whole)
+            total += whole.counts[-1]
+            last = self.states[whole.states[-1]]
         return total
 
-    def map_chunk(self, text: str) -> StateMap:
-        """Map of a chunk of marked text (spaces are markers already)."""
-        at = next((i for i in range(1, len(text)) if text[i] == MARK and text[i - 1] != MARK), 0)
-        if not at:
-            return StateMap(text)
-        last = len(text)
-        while last > at and not (text[last - 1] == MARK and text[last - 2] != MARK):
-            last -= 1
-        last -= 1  # where the last marked word starts
-        words = marked_words(text[at + 1 : last].replace(MARK, " ")) if last > at else []
-        end, count = self.run(0, text[last:])
-        return StateMap(text[:at], True, count + self.count_words(words), end)
-
-    def join(self, f: StateMap, g: StateMap) -> StateMap:
-        """First f, then g."""
-        if not f.known:
-            return StateMap(f.head + g.head, g.known, g.count, g.end)
-        end, count = self.run(f.end, g.head)
-        return StateMap(f.head, True, f.count + count + g.count, g.end if g.known else end)
-
-    def scan(self, maps: list[StateMap]) -> list[StateMap]:
-        """Inclusive prefix scan in log2(n) rounds; each round joins places that do not depend on each other."""
-        maps, step = list(maps), 1
-        while step < len(maps):
-            maps = maps[:step] + [self.join(maps[i - step], maps[i]) for i in range(step, len(maps))]
-            step *= 2
-        return maps
-
-    def count(self, text: str, chunk: int = CHUNK) -> int:
-        if not text:
-            return 0
+    def alone(self, chunk: str) -> int:
+        """Tokens of a chunk, or of a word; it begins at a boundary, so states may be forgotten before it."""
         if len(self.states) > KEPT_STATES:
             self.reset()
-        if len(self.words) > KEPT_WORDS:
+        return self.run(0, chunk)[1]
+
+    def cut(self, text: str) -> list[str]:
+        """A marked word between its boundaries."""
+        at = [0, *[i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.neighbours], len(text)]
+        return [text[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
+
+    def word(self, w: str, block: int = BLOCK) -> int:
+        """Tokens of a marked word, without its first marker."""
+        if len(w) <= KEPT_LENGTH:
+            count = self.words[w] = self.alone(MARK + w.replace(" ", MARK))
+            return count
+        total = 0
+        for chunk in self.cut(MARK + w.replace(" ", MARK)):
+            if len(chunk) > block:
+                total += self.long_chunk(chunk, block)
+            elif len(chunk) > KEPT_LENGTH:
+                total += self.alone(chunk)
+            else:
+                if chunk not in self.chunks:
+                    self.chunks[chunk] = self.alone(chunk)
+                total += self.chunks[chunk]
+        return total
+
+    def counts(self, texts: list[str], block: int = BLOCK) -> np.ndarray:
+        """Tokens of each text: the prefix sum over all chunks, at the texts' ends."""
+        if len(self.words) + len(self.chunks) > KEPT_CHUNKS:
             self.words.clear()
-        if len(text) <= chunk:
-            return self.count_words(marked_words(text))
-        marked = MARK + text.replace(" ", MARK)
-        maps: list[StateMap] = []
-        heads: list[str] = []  # of chunks without a boundary; a run of them is one head
-        for i in range(0, len(marked), chunk):
-            f = self.map_chunk(marked[i : i + chunk])
-            heads.append(f.head)
-            if f.known:
-                maps.append(StateMap("".join(heads), True, f.count, f.end))
-                heads = []
-        if heads:
-            maps.append(StateMap("".join(heads)))
-        whole = self.scan(maps)[-1]
-        return self.run(0, whole.head)[1] + (whole.count if whole.known else 0)
+            self.chunks.clear()
+        split = [marked_words(t) for t in texts]
+        words = [w for x in split for w in x]
+        found = list(map(self.words.get, words))
+        if None in found:
+            known = self.words
+            found = [n if n is not None else known.get(w) or self.word(w, block) for w, n in zip(words, found, strict=True)]  # a word has one token at least
+        prefix = np.concatenate([[0], np.cumsum(np.array(found, dtype=np.int64))])
+        ends = np.cumsum([0, *map(len, split)])
+        return prefix[ends[1:]] - prefix[ends[:-1]]
 
 
 def count_tokens(df: DataFrame, model_path: str, text: str = "text", limit: int = 4096) -> DataFrame:
     """df with n_bytes and n_tokens (long) and over_limit (boolean), as the library counts without begin and end ids.
 
-    Null and empty texts have 0 bytes and 0 tokens. Very long texts are counted whole, in chunks. Existing columns of
+    Null and empty texts have 0 bytes and 0 tokens. Very long texts are counted whole. Existing columns of
     these names, the text's own too, are replaced; repeated rows stay; an empty table gives an empty table.
     """
 
@@ -203,7 +237,7 @@ def count_tokens(df: DataFrame, model_path: str, text: str = "text", limit: int
         machine = Transducer.load(model_path)
 
         def work(column: pa.Array) -> list[pa.Array]:
-            tokens = pa.array([machine.count(t) if t else 0 for t in column.to_pylist()], pa.int64())
+            tokens = pa.array(machine.counts([t or "" for t in column.to_pylist()]), pa.int64())
             return [pc.fill_null(pc.binary_length(column), 0).cast(pa.int64()), tokens, pc.greater(tokens, limit)]
 
         return work

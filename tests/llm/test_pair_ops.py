@@ -112,6 +112,26 @@ def test_links_span_the_same_components(spark, part, blocks):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, found.values()))
 
 
+def test_upper_nodes_prune_whole_groups():
+    """In one group of the size that groups have, few of all pairs are compared, and fewer than without upper nodes."""
+    rng = np.random.default_rng(6)
+    codes = rng.integers(0, 1 << 63, simhash.GROUP, dtype=np.uint64) * np.uint64(2)
+    codes = np.unique(np.concatenate([codes, codes[:300] ^ (np.uint64(1) << rng.integers(0, 60, 300).astype(np.uint64))]))
+    codes = codes[np.argsort(simhash.gray_rank(codes))]
+    index = simhash.GrayIndex(codes, np.zeros(len(codes), dtype=np.int64))
+    label = index.components(4)
+    assert [int(x) for x in label] == [min(j for j, y in enumerate(spanned) if y == x) for spanned in [spanning(codes.tolist(), 4)] for x in spanned]
+    nodes = sum(len(level["from"]) for level in index.levels)
+    assert len(index.levels) > 3 and nodes > len(codes) / simhash.LEAF
+    assert index.visited < 0.4 * len(codes) ** 2 / 2
+
+
+@pytest.mark.parametrize("group", [1, 8, 1024])
+def test_groups_of_any_size_find_the_same_links(spark, group, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP", group)
+    test_links_span_the_same_components(spark, 40, 5)
+
+
 def test_gray_order():
     x = np.arange(64, dtype=np.uint64)
     codes = x ^ (x >> np.uint64(1))

@@ -47,14 +47,37 @@ def test_transducer_composes_chunks_of_any_size(library):
     rng, machine = random.Random(5), token_counts.Transducer.load(MODEL)
     for _ in range(300):
         text = "".join(rng.choice(["the", "ing", " ", "  ", "é", "漢", "▁", "x", "\n", "🙂", "tion"]) for _ in range(rng.randint(0, 40)))
-        assert machine.count(text, chunk=rng.randint(1, 20)) == len(library.encode(text)), repr(text)
-    maps = [machine.map_chunk(c) for c in ("▁the", "▁ing▁a", "b", "▁c▁d")]
-    left, right = maps[0], maps[-1]
-    for m in maps[1:]:
-        left = machine.join(left, m)
-    for m in reversed(maps[:-1]):
-        right = machine.join(m, right)
-    assert left == right == machine.scan(maps)[-1]
+        assert machine.counts([text, "", text])[::2].tolist() == [len(library.encode(text))] * 2, repr(text)
+    for _ in range(300):
+        marked = "▁" + "".join(rng.choice(["the", "ing", "▁", "▁▁", "é", "x", "xx", "==", "tion", "aaaa"]) for _ in range(rng.randint(1, 60)))
+        blocks, at = [], 0
+        while at < len(marked):
+            size = rng.randint(1, 20)
+            blocks.append(machine.trace(marked[at : at + size]))
+            at += size
+        left, right = blocks[0], blocks[-1]
+        for m in blocks[1:]:
+            left = machine.join(left, m)
+        for m in reversed(blocks[:-1]):
+            right = machine.join(m, right)
+        assert left == right == machine.joined(blocks) == machine.trace(marked)
+        assert left.counts[-1] == len(library.encode(marked[1:].replace("▁", " ")))
+
+
+def test_long_unbroken_texts(library, monkeypatch):
+    """Words without boundaries in small blocks and stretches, boundaries within words, and few states at a time."""
+    monkeypatch.setattr(token_counts, "STRETCH", 64)
+    monkeypatch.setattr(token_counts, "KEPT_STATES", 300)
+    monkeypatch.setattr(token_counts, "KEPT_LENGTH", 5)
+    rng, machine = random.Random(8), token_counts.Transducer(MODEL)
+    for _ in range(60):
+        parts = rng.choice([["x", "xx", "ab"], ["the", "ing", "tion", "s"], ["漢", "字", "a", "ion"], ["=", "==", "-"], ["é", "🙂", "er"], [" ", "the", "  "]])
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 300)))
+        assert machine.counts([text], block=rng.randint(1, 16)).tolist() == [len(library.encode(text))], text
+        assert machine.counts([text, text]).tolist() == [len(library.encode(text))] * 2
+    big = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000))
+    assert machine.counts([big]).tolist() == [len(library.encode(big))]
+    assert len(machine.states) < 300 + 64 * 30
 
 
 def test_toxicity_learns_folds_and_spares(spark):
