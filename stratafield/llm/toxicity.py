@@ -1,7 +1,7 @@
 """Toxicity: a weighted lexicon, matched by an Aho-Corasick automaton on folded text and normalised by length.
 
-Folding lower-cases, maps homoglyphs and digit substitutions to the letters that they stand for, and blanks all that
-is no letter. Terms are word starts or whole words. Their weights are log odds of being in toxic documents, learnt
+Folding lower-cases, maps homoglyphs to the letters that they look like, and digits and signs to those that they stand
+for where a letter is in the same word, and blanks all that is no letter then. Terms are word starts or whole words. Their weights are log odds of being in toxic documents, learnt
 from a bounded sample of labelled rows; at each word the longest matched term counts. A phrase of the exception list
 takes away the terms that it covers. Weight and length together give a probability by a fitted logistic curve.
 """
@@ -21,13 +21,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratafield.llm.common import append_columns, apart, slices
+from stratafield.llm.common import append_columns, apart, materialize, slices
 
 #: Letters of other scripts that look like Latin ones, and signs that are used for letters.
 HOMOGLYPHS = dict(zip("авекмнорстухіјѕԁһӏԛԝαβεικνορτυχ", "abekmhopctyxijsdhlqwabeikvoptux", strict=True))
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
-#: Phrases in which a listed word is not abusive.
-EXCEPTIONS = ("trash can", "trash bin", "class clown fish", "clown fish", "white trash bag")
+#: Phrases in which a word that is often abuse is none. A caller adds those of their own lexicon's words.
+EXCEPTIONS = (
+    "trash bag",
+    "trash bags",
+    "trash bin",
+    "trash bins",
+    "trash can",
+    "trash cans",
+    "trash collection",
+    "trash compactor",
+    "trash pickup",
+    "take out the trash",
+    "clown fish",
+    "clown loach",
+    "circus clown",
+    "rodeo clown",
+    "pond scum",
+    "soap scum",
+    "idiot light",
+    "idiot proof",
+    "pathetic fallacy",
+    "worthless check",
+    "worthless securities",
+    "worthless stock",
+    "dumb bell",
+    "dumb waiter",
+    "cock a doodle",
+    "weather cock",
+    "moby dick",
+    "dick van dyke",
+    "pussy cat",
+    "pussy willow",
+    "tit for tat",
+    "blue tit",
+    "great tit",
+    "crap shoot",
+    "craps table",
+    "hell's kitchen",
+    "damn yankees",
+    "killer whale",
+    "killer app",
+    "sucker punch",
+    "kick ass movie",
+    "ass and ox",
+)
 
 
 class _Fold(dict):
@@ -39,14 +82,14 @@ class _Fold(dict):
         return out
 
 
-#: Signs for letters that stand before no letter are punctuation.
-_PUNCTUATION = re.compile(r"[@$!]+(?![^\W\d_])")
+#: Digits and signs without a letter beside them are numbers, and signs that stand before no letter are punctuation.
+_NO_LETTERS = re.compile(r"(?<![^\W_])[0-9@$!]+(?![^\W_])|[@$!]+(?![^\W\d_])")
 _FOLD = _Fold({ord(k): v for k, v in (HOMOGLYPHS | DIGITS).items()})
 
 
 def fold(text: str) -> str:
-    """Folded text, with a blank at either end; a sign for a letter counts as one only before another letter."""
-    return f" {_PUNCTUATION.sub(' ', text.lower()).translate(_FOLD)} "
+    """Folded words with a blank around each; a digit or sign counts as a letter only in a word that has others."""
+    return f" {' '.join(_NO_LETTERS.sub(' ', text.lower()).translate(_FOLD).split())} "
 
 
 def terms_of(text: str, shortest: int = 4, longest: int = 10) -> set[str]:
@@ -110,16 +153,25 @@ def shape(weight, words) -> np.ndarray:
     return np.stack([np.ones_like(total), total, share, total * share], axis=-1)
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> tuple[float, ...]:
-    """Logistic regression by Newton's method."""
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 100) -> tuple[float, ...]:
+    """Logistic regression by Newton's method; a step is halved until it lowers the loss enough, so that it always ends."""
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float(np.logaddexp(0, z).sum() - y @ z + ridge / 2 * b @ b)
+
     b = np.zeros(x.shape[1])
+    now = loss(b)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(b))
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * b)
-        b = b + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -500, 500)))
+        slope = x.T @ (y - p) - ridge * b
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(b)), slope)
+        size = 1.0
+        while size > 1e-9 and (then := loss(b + size * step)) > now - 1e-4 * size * (slope @ step):
+            size /= 2
+        if size <= 1e-9 or now - then < 1e-10 * max(1.0, now):
             break
+        b, now = b + size * step, then
     return tuple(float(v) for v in b)
 
 
@@ -128,7 +180,7 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = 20_000, most_terms: int = 1500, least_docs: int = 5, least_share: float = 0.01, least_odds: float = 8.0) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = 20_000, least_docs: int = 5, least_share: float = 0.03, least_odds: float = 8.0) -> Lexicon:
     """Lexicon from labelled rows that are not held out, at most `most_rows` of them (by a hash of the id).
 
     A term is in `least_docs` toxic documents and in a share of them at least, and `least_odds` times likelier there.
@@ -137,7 +189,9 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """
     known = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).dropna().where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(most_rows)
-    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).dropna().join(F.broadcast(chosen), "id").select("text", "y")  # at most most_rows
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).dropna().join(F.broadcast(chosen), "id")  # at most most_rows ids
+    rows = rows.groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")  # an id's rows count once
+    rows = materialize(rows.repartition(32), "labelled-sample")
 
     def split(batches):
         for batch in (part for whole in batches for part in slices(whole, 1 << 20)):
@@ -153,8 +207,8 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return Lexicon({})
     odds = F.log((F.col("a") + 0.5) / (n1 + 1.0)) - F.log((F.col("b") + 0.5) / (n0 + 1.0))
     best = counts.where(F.col("a") >= max(least_docs, least_share * n1)).withColumn("w", odds).where(F.col("w") >= math.log(least_odds))
-    # Of a word start and a longer term that is in nearly the same toxic documents, the longer one says more.
-    best = best.orderBy(F.desc(F.col("a") * F.col("w")), "term").limit(most_terms)
+    # Of a word start and a longer term that is in nearly the same toxic documents, the longer one says more. Terms are
+    # in a share of the toxic rows each, so there are at most the words of such a row by that share.
     found = {r.term: (r.a, r.w) for r in best.toLocalIterator()}
     covered = {t[:k] for t in found for k in range(2, len(t)) if t[:k] in found and found[t][0] >= 0.95 * found[t[:k]][0]}
     lexicon = Lexicon({t: w for t, (_, w) in found.items() if t not in covered})

@@ -1,13 +1,16 @@
+import math
 import os
+import re
 
 import pytest
 import sentencepiece
 
 import corpus_pipeline
-from stratafield.llm import pii, toxicity
+from stratafield.llm import toxicity
 from stratafield.llm.common import tokenizer_path
 
 from .test_pair_ops import contamination, fingerprint, spanning
+from .test_text_ops import plain_weight
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,8 +19,7 @@ SF = "/root/testdata/sf0.001"
 def test_pipeline_equals_brute_force(spark):
     docs, labels, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
     lexicon = toxicity.learn(docs, labels)
-    match = lexicon.matcher()
-    rows = [r for r in docs.collect() if lexicon.score(*[[v] for v in match(r.text or "")])[0] < 0.7]
+    rows = [r for r in docs.collect() if probability(r.text or "", lexicon) < 0.7]
     codes = [fingerprint(r.text) for r in rows]
     distinct = sorted(set(codes))
     label = dict(zip(distinct, spanning(distinct, 4), strict=True))
@@ -28,11 +30,37 @@ def test_pipeline_equals_brute_force(spark):
     benchmark = [(r.item_id, r.text) for r in items.collect()]
     rows = [r for r in rows if not contamination(r.text, benchmark)[3]]
     library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
-    key = pii.session_key(spark)
-    texts = {r.doc_id: pii.pseudonymise_text(r.text, key)[0] for r in rows}
-    want = {k: (t, library.encode(t) + [library.eos_id()]) for k, t in texts.items()}
-    got = {r.doc_id: (r.text, r.ids) for r in corpus_pipeline.run(spark, SF).collect()}
-    assert got == want and 0 < len(got) < docs.count()
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
+    assert got.keys() == {r.doc_id for r in rows} and 0 < len(got) < docs.count()
+    changed = 0
+    for r in rows:
+        new, spans = got[r.doc_id].text, PRIVATE.findall(r.text)
+        changed += bool(spans)
+        # All that is not private is there, in order, and between it stands something else of the same form.
+        kept = PRIVATE.split(r.text)
+        m = re.fullmatch("(.*?)".join(map(re.escape, kept)), new, re.DOTALL)
+        assert m and all(a != b and form(a) == form(b) for a, b in zip(spans, m.groups(), strict=True))
+        assert got[r.doc_id].ids == library.encode(new) + [library.eos_id()] and got[r.doc_id].decoded == library.decode(got[r.doc_id].ids)
+    assert changed > 3
+
+
+#: The private values of the test tables: addresses, keys, numbers of phones, and cards and internet addresses that are valid.
+PRIVATE = re.compile(r"(?:[\w.]+@[\w.]+\.com)|\b[0-9a-f]{40}\b|\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}|\b4[0-9]{15}\b|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b", re.ASCII)
+
+
+def form(value):
+    if re.fullmatch("[0-9a-f]{40}", value):
+        return "hexadecimal"
+    if value.count(".") == 3 and value.replace(".", "").isdigit():
+        return "internet"
+    return re.sub("[a-z]", "a", re.sub("[0-9]", "9", value.partition("@")[0])), value.partition("@")[2]
+
+
+def probability(text, lexicon):
+    words = toxicity.fold(text).split()
+    weight = plain_weight(words, lexicon)
+    total, share = math.log1p(weight), math.log((weight + 0.05) / ((len(words) if weight else 0) + 20))
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip(lexicon.curve, (1, total, share, total * share), strict=True))))
 
 
 def test_stages_keep_the_columns_of_documents(spark, edge_texts, tmp_path):

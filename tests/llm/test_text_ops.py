@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -99,6 +100,76 @@ def test_toxicity_learns_folds_and_spares(spark):
     assert toxicity.learn(df.limit(0), labels).weights == {} and toxicity.score(shown.limit(0), lexicon).count() == 0
 
 
+LOOKS_LIKE = {"а": "a", "в": "b", "е": "e", "м": "m", "о": "o", "р": "p", "с": "c", "ѕ": "s", "α": "a", "ο": "o"}
+STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
+
+
+def plain_words(text):
+    """Words of a text of ASCII and the letters above, character by character."""
+    out = []
+    text = text.lower()
+    for i, c in enumerate(text):
+        if c.isalpha():
+            out.append(LOOKS_LIKE.get(c, c))
+        elif c in STANDS_FOR:
+            a, z = i, i + 1
+            while a and (text[a - 1] in STANDS_FOR or text[a - 1] in "269"):
+                a -= 1
+            while z < len(text) and (text[z] in STANDS_FOR or text[z] in "269"):
+                z += 1
+            before, after = text[a - 1 : a].isalpha(), text[z : z + 1].isalpha()
+            sign = c in "@$!"
+            follows = i + 1
+            while sign and follows < len(text) and text[follows] in "@$!":
+                follows += 1
+            letter = text[follows : follows + 1].isalpha() if sign else before or after
+            out.append(STANDS_FOR[c] if letter else " ")
+        else:
+            out.append(" ")
+    return "".join(out).split()
+
+
+def plain_weight(words, lexicon):
+    """Every word against every term and phrase."""
+    spared = set()
+    for phrase in lexicon.exceptions:
+        parts = plain_words(phrase)
+        for i in range(len(words) - len(parts) + 1):
+            if words[i : i + len(parts)] == parts:
+                spared |= set(range(i, i + len(parts)))
+    total = 0.0
+    for i, w in enumerate(words):
+        fit = [t for t in lexicon.weights if (w == t[1:-1] if t.endswith(" ") else w.startswith(t[1:]))]
+        if fit and i not in spared:
+            total += lexicon.weights[max(fit, key=len)]
+    return total
+
+
+def test_matching_equals_every_term_at_every_word():
+    rng = random.Random(17)
+    lexicon = toxicity.Lexicon({" mor": 1.0, " moron ": 3.0, " moro": 2.0, " scum ": 5.0, " clown ": 2.5, " ass ": 4.0, " boob ": 4.5, " trash ": 3.5}, exceptions=("clown fish", "trash can", "the trash", "scum"[:4] + " of ponds"))
+    match = lexicon.matcher()
+    parts = ["moron", "moro", "morons", "mor", "МOR0N", "m0r0n", "$cum", "scum", "scum of ponds", "clown", "clown fish", "the trash can", "trash", "455", "8008", "a55", "b00b", "455, 8008", "the", "!!", "moron!!", "$5", "fish", "x1", "1x"]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) + rng.choice([" ", " ", ", ", ". ", "-"]) for _ in range(rng.randint(0, 15)))
+        words = plain_words(text)
+        assert toxicity.fold(text).split() == words, text
+        weight, n = match(text)
+        assert n == len(words) and abs(weight - plain_weight(words, lexicon)) < 1e-9, text
+    assert match("455, 8008")[0] == 0 and match("a55 b00b")[0] == 8.5
+
+
+def test_curve_is_the_best_one():
+    """Newton's steps end at the least loss, where full steps would run away too."""
+    rng = np.random.default_rng(4)
+    for scale in (1.0, 30.0):
+        x = np.column_stack([np.ones(400), rng.normal(size=(400, 3)) * scale])
+        y = (x @ [0.5, 1, -1, 0.2] + rng.logistic(size=400) * 0.3 > 0).astype(float)
+        b = np.array(toxicity.fit_curve(x, y))
+        loss = lambda b, x=x, y=y: np.logaddexp(0, x @ b).sum() - y @ (x @ b) + 5e-3 * b @ b
+        assert all(loss(b) <= loss(b + d) + 1e-6 for d in rng.normal(size=(200, 4)) * 0.05)
+
+
 def test_toxicity_of_edge_texts(edge_docs):
     got = toxicity.score(edge_docs, toxicity.Lexicon({" lorem": 1.0}))
     assert got.count() == edge_docs.count() and dict(got.dtypes)["score"] == "double"
