@@ -17,6 +17,7 @@ one, from where the kept numbers hold. Such maps compose; a chunk's blocks are j
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from stratafield.llm.sentencepiece_codec import MARK, marked_words
 #: Characters of a block, and of a stretch of blocks after which states may be forgotten.
 BLOCK, STRETCH = 1 << 12, 1 << 17
 #: Chunks and states that a worker keeps before it starts anew, and characters of the longest chunk that is kept.
-KEPT_CHUNKS, KEPT_STATES, KEPT_LENGTH = 700_000, 200_000, 48
+KEPT_CHUNKS, KEPT_STATES, KEPT_LENGTH = 700_000, 400_000, 48
 
 
 @dataclass(frozen=True)
@@ -217,11 +218,10 @@ class Transducer:
             self.chunks.clear()
         split = [marked_words(t) for t in texts]
         words = [w for x in split for w in x]
-        found = list(map(self.words.get, words))
-        if None in found:
-            known = self.words
-            found = [n if n is not None else known.get(w) or self.word(w, block) for w, n in zip(words, found, strict=True)]  # a word has one token at least
-        prefix = np.concatenate([[0], np.cumsum(np.array(found, dtype=np.int64))])
+        found = np.fromiter(map(self.words.get, words, repeat(0)), np.int64, len(words))
+        for i in np.flatnonzero(found == 0).tolist():  # a word has one token at least
+            found[i] = self.words.get(words[i]) or self.word(words[i], block)
+        prefix = np.concatenate([[0], np.cumsum(found)])
         ends = np.cumsum([0, *map(len, split)])
         return prefix[ends[1:]] - prefix[ends[:-1]]
 
