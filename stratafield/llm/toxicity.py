@@ -82,14 +82,25 @@ class _Fold(dict):
         return out
 
 
-#: Digits and signs without a letter beside them are numbers, and signs that stand before no letter are punctuation.
-_NO_LETTERS = re.compile(r"(?<![^\W_])[0-9@$!]+(?![^\W_])|[@$!]+(?![^\W\d_])")
+_RUN, _SIGNS_THEN_DIGIT = re.compile(r"[0-9@$!]+"), re.compile(r"[@$!]+(?=[0-9])")
+
+
+def _letters_of(m: re.Match) -> str:
+    """Of a run of digits and signs: without a letter beside it a number; signs that stand before no letter are punctuation."""
+    text, a, z = m.string, m.start(), m.end()
+    after = text[z : z + 1].isalnum()
+    if not after and not text[a - 1 : a].isalnum():
+        return " "
+    run = _SIGNS_THEN_DIGIT.sub(" ", m[0])
+    return run if after and not text[z].isdecimal() else run.rstrip("@$!") + " "
+
+
 _FOLD = _Fold({ord(k): v for k, v in (HOMOGLYPHS | DIGITS).items()})
 
 
 def fold(text: str) -> str:
     """Folded words with a blank around each; a digit or sign counts as a letter only in a word that has others."""
-    return f" {' '.join(_NO_LETTERS.sub(' ', text.lower()).translate(_FOLD).split())} "
+    return f" {' '.join(_RUN.sub(_letters_of, text.lower()).translate(_FOLD).split())} "
 
 
 def terms_of(text: str, shortest: int = 4, longest: int = 10) -> set[str]:
@@ -136,7 +147,7 @@ class Lexicon:
             for a, z in spared:
                 for at in [at for at in best if a <= at < z]:
                     del best[at]
-            return sum(w for _, w in best.values()), len(folded.split())
+            return sum(w for _, w in best.values()), len(folded) > 2 and folded.count(" ") - 1
 
         return match
 
