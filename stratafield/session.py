@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -28,7 +30,9 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
-    path = os.path.join(tempfile.mkdtemp(), "stratafield.zip")
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "stratafield.zip")
     with zipfile.ZipFile(path, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, f"{root.name}/{p.relative_to(root)}")
@@ -53,6 +57,7 @@ def own_folder(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: plans start there, and a lost executor costs nothing before it."""
+    _drop_at_the_end(df.sparkSession)
     path = f"{own_folder(df.sparkSession)}/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -60,6 +65,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+_dropped: set[str] = set()
+
+
+def _drop_at_the_end(spark: SparkSession) -> None:
+    """The application's part of the shared folder goes when its driver ends, once all that reads it has ended too."""
+    folder = own_folder(spark)
+    if folder not in _dropped:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _dropped.add(folder)
+
+
 def read_written(tables: list[DataFrame]) -> DataFrame:
     """Tables of one schema that materialize() wrote, as one scan."""
     return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[t.written_to for t in tables])
