@@ -291,6 +291,17 @@ def bbox_tag_filter(spark, sf_dir):
     return table(spark, sf_dir, "events").where((F.get_json_object("props", "$.k") == "7") & remote.in_box(lat, lon, 48.5, -1.0, 49.5, 0.5)).select("event_id")
 
 
+@query(f"SELECT event_id AS id, round({_EVENT_LAT}, 6) AS lat, round({_EVENT_LON}, 6) AS lon FROM events WHERE json_extract_string(props, '$.k') = '3' AND {_EVENT_LAT} BETWEEN 48.2 AND 49.9 AND {_EVENT_LON} BETWEEN -1.5 AND 0.9")
+def tagged_elements(spark, sf_dir):
+    """Replies with the events of a user as their elements, parsed and filtered by tag and box."""
+    key = F.col("event_id")
+    lat, lon = between(*LAT, uniform("lat", key)), between(*LON, uniform("lon", key))
+    element = F.struct(F.lit("node").alias("type"), key.alias("id"), lat.alias("lat"), lon.alias("lon"), F.create_map(F.lit("k"), F.get_json_object("props", "$.k")).alias("tags"))
+    replies = table(spark, sf_dir, "events").groupBy("user_id").agg(F.to_json(F.struct(F.collect_list(element).alias("elements"))).alias("body"))
+    found = remote.tagged(remote.map_elements(replies), "k", "3", 48.2, -1.5, 49.9, 0.9)
+    return found.select("id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
 @query("SELECT user_id % 10 AS part, count(*) AS n_elements FROM events GROUP BY 1")
 def json_elements_count(spark, sf_dir):
     folded = table(spark, sf_dir, "events").groupBy("user_id").agg(F.to_json(F.struct(F.collect_list(F.struct("event_id")).alias("elements"))).alias("body"))

@@ -43,6 +43,25 @@ def elements(responses: DataFrame, column: str = "body") -> DataFrame:
     return responses.select(F.explode(parsed["elements"]).alias("element"))
 
 
+#: Fields of an element of a map server's reply.
+ELEMENT = "struct<type: string, id: bigint, lat: double, lon: double, tags: map<string, string>>"
+
+
+def read_replies(spark: SparkSession, path: str) -> DataFrame:
+    """(path, body) of saved replies, a file each."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
+
+
+def map_elements(responses: DataFrame, column: str = "body") -> DataFrame:
+    """type, id, lat, lon and tags of each element of replies; a null or broken reply has none."""
+    return responses.select(F.explode(F.from_json(F.col(column), f"elements array<{ELEMENT}>")["elements"]).alias("e")).select("e.*")
+
+
+def tagged(found: DataFrame, tag: str, value: str, south: float, west: float, north: float, east: float) -> DataFrame:
+    """Elements with a tag in a box, as the query text asks a server for them."""
+    return found.where((F.try_element_at("tags", F.lit(tag)) == value) & in_box(F.col("lat"), F.col("lon"), south, west, north, east))
+
+
 def element_count(body: Column) -> Column:
     return F.coalesce(F.size(F.from_json(body, "elements array<string>")["elements"]), F.lit(0))
 

@@ -189,6 +189,15 @@ def test_remote_sources(spark, tmp_path):
     assert '["power"="line"](1,2,3,4)' in remote.overpass_query("power", "line", 1, 2, 3, 4)
 
 
+def test_replies_of_a_map_server(spark, tmp_path):
+    bodies = ['{"elements": [{"type": "way", "id": 7, "lat": 1.5, "lon": 2.5, "tags": {"power": "line"}}, {"type": "node", "id": 8, "lat": 9, "lon": 2, "tags": {"power": "line"}}, {"id": 9, "lat": 1.5, "lon": 2.5}]}', "broken", "{}", ""]
+    for i, b in enumerate(bodies):
+        (tmp_path / f"{i}.json").write_text(b)
+    found = remote.map_elements(remote.read_replies(spark, str(tmp_path)))
+    assert sorted(r.id for r in found.collect()) == [7, 8, 9]
+    assert [(r.id, r.type) for r in remote.tagged(found, "power", "line", 1, 2, 3, 4).collect()] == [(7, "way")]
+
+
 def test_config_and_log(tmp_path):
     (tmp_path / "c.yaml").write_text("sampling: {min_spacing_km: 2, strata: {a: 3, b: 4}}\nlogging: {level: WARNING}\n")
     p = parameters(load_config(str(tmp_path / "c.yaml")))
