@@ -7,7 +7,7 @@ the window's rarest one. Where it does, the shingle's place in the window and th
 would start and end; out of bounds is refused, and what is left is compared word for word.
 
 Items go to the workers in blocks of a bounded number of bytes; a larger benchmark takes more blocks, each one more
-step over the documents' rows, and none of them moves a document.
+step over the documents' rows, and none of them moves a document. Shingles of several blocks are counted in one reading.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97
 _PRIME = 0x9E3779B97F4A7C15 | 1
 #: Bytes of a text that are hashed at once, and bits of the filter before exact look-up.
 SEGMENT, FILTER_BITS = 1 << 20, 22
+#: Blocks whose shingles are counted in one reading of the documents; a shingle is a number to the driver and the tasks.
+COUNTED_TOGETHER = 4
 _powers = np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
 
 
@@ -215,11 +217,21 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     blocks = max(1, math.ceil(size / block_bytes))
     fields = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("items", item_type)]
     spans_type, items_type = pa.list_(pa.list_(pa.int64())), pa.list_(_arrow(item_type.elementType))
-    out, parts = docs, []
-    for b in range(blocks):
+    out, parts, frequency = docs, [], {}
+
+    def block_of(b: int) -> Block:
         rows = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b).toLocalIterator()
-        block = Block({bytes(r.window): r["items"] for r in rows}, shingle)
-        block.order(shingle_frequency(docs, text, block.shingles()))
+        return Block({bytes(r.window): r["items"] for r in rows}, shingle)
+
+    for b in range(blocks):
+        block = block_of(b)
+        if b % COUNTED_TOGETHER == 0:
+            wanted = block.shingles()
+            for more in range(b + 1, min(b + COUNTED_TOGETHER, blocks)):
+                for k, hashes in block_of(more).shingles().items():
+                    wanted[k] |= hashes
+            frequency = shingle_frequency(docs, text, wanted)
+        block.order(frequency)
         names = [f"__block{b}_{f.name}" for f in fields] if blocks > 1 else [f.name for f in fields]
 
         def make(block=block):
