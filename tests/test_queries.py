@@ -36,7 +36,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["captions"])
+@pytest.mark.parametrize("name", ["captions", "map_markers"])
 def test_zeros_keep_their_sign(spark, tmp_path, name):
     """Orders 2252198 and 4074838 are drawn just west of longitude 0, which rounds to -0.0, and prints so."""
     keys = [(k, s) for k, s in enumerate(["1-URGENT", "4-NOT SPECIFIED"])] + [(2252198, "4-NOT SPECIFIED"), (4074838, "2-HIGH")]
