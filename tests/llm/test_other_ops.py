@@ -1,5 +1,6 @@
 import hashlib
 import random
+from fractions import Fraction
 
 import duckdb
 import pytest
@@ -115,6 +116,27 @@ def test_similar_branches_are_merged_at_every_level(spark):
     assert not any("p1" in r.template for r in few.values() if "/p2" in r.path)
 
 
+def test_a_branch_meets_all_its_siblings(spark):
+    """Ten heavier branches are like no other one; the two lightest, which are alike, are one at the first and second level."""
+    unlike = [f"{b}/{b}{b}" for b in "abcdefghij" for _ in range(20)]
+    urls = [f"http://{at}/{u}" for at in ("x.org", "y.org/top") for u in [*unlike, *["p1/item/1"] * 12, *["p2/item/1"] * 10, *["few/item/1"] * 7]]
+    got = templates(spark, urls, references=None)
+    for host, level in (("x.org", 0), ("y.org", 1)):
+        names = {r.path.split("/")[level + 1]: r.template.split("/")[level] for r in got.values() if r.host == host}
+        assert names == {**{b: f"~{b}" for b in "abcdefghij"}, "p1": "~p1", "p2": "~p1", "few": "few"}
+
+
+def test_like_siblings_equal_all_pairs(spark):
+    rng = random.Random(8)
+    rows = {f"b{k:02}": [rng.choice("vwxyz"[: 2 + k % 4]) for _ in range(rng.randint(16, 30))] for k in range(25)}
+    got = templates(spark, [f"http://x.org/{b}/{c}/{n}" for b, cs in rows.items() for n, c in enumerate(cs)], references=None)
+    heaviest = sorted(rows, key=lambda b: (-len(rows[b]), b))
+    shared = {(b, o): sum(min(Fraction(rows[b].count(c), len(rows[b])), Fraction(rows[o].count(c), len(rows[o]))) for c in "vwxyz") for b in rows for o in rows}
+    want = {b: "~" + next(o for o in heaviest if shared[b, o] >= Fraction(3, 4)) for b in rows}
+    assert {r.path.split("/")[1]: r.template.split("/")[0] for r in got.values()} == want
+    assert {heaviest.index(t[1:]) > 3 for b, t in want.items() if t != f"~{b}"} == {True, False}
+
+
 def test_segments_past_the_merged_levels_tell_templates_apart(spark):
     urls = [f"http://z.org/a/b/c/{d}/{n}" for d in ("d", "e") for n in range(9)]
     assert {r.template for r in templates(spark, urls).values()} == {"~a/~b/~c/d/*", "~a/~b/~c/e/*"}
