@@ -73,7 +73,8 @@ def save_map(df: DataFrame, path: str, colours: dict[str, str] | None = None) ->
     with open(path, "w") as out:
         out.write('<!DOCTYPE html><meta charset="utf-8"><title>Points</title><svg viewBox="-180 -90 360 180" style="width:100%;background:#eef">\n')
         for r in marker_rows(df, colours).toLocalIterator():
-            out.write(f'<circle cx="{r.lon}" cy="{-r.lat}" r="0.4" fill="{r.colour}" fill-opacity="0.8"><title>{html.escape(r.popup)}</title></circle>\n')
+            title = f"{r.lat:.6f}, {r.lon:.6f}" if r.popup is None else r.popup  # a point without a stratum has no popup
+            out.write(f'<circle cx="{r.lon}" cy="{-r.lat}" r="0.4" fill="{r.colour}" fill-opacity="0.8"><title>{html.escape(title)}</title></circle>\n')
             n += 1
         out.write("</svg>\n")
     return n

@@ -148,6 +148,12 @@ def test_box_tile_label(spark):
     assert [r.c for r in asked] == ["p!", "p!"]
 
 
+def test_map_of_a_point_without_a_stratum(spark, tmp_path):
+    df = spark.createDataFrame([(1.5, -2.25, None)], "lat double, lon double, stratum string")
+    assert points.save_map(df, str(tmp_path / "map.html")) == 1
+    assert "<title>1.500000, -2.250000</title>" in (tmp_path / "map.html").read_text()
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, 1.5, -2.25, "forest", 1.0, 2.0, 3.0, 4.0), (2, 0.0, 0.0005, "<x>", 1.0, 2.0, 3.0, 4.0)], points.POINT_SCHEMA)
     points.save_csv(df, str(tmp_path / "p"), files=1)

@@ -49,3 +49,17 @@ def test_zeros_keep_their_sign(spark, tmp_path, name):
     rows = plain(want.fetchall(), columns)
     assert plain([tuple(r) for r in df.collect()], df.columns) == rows
     assert sum("-0.000000" in str(r) for r in rows) == 2
+
+
+def test_markers_of_nulls(spark, tmp_path):
+    """A popup is null if the order has no priority or no key, as in the SQL; the rows stay."""
+    keys = [(5, None), (None, "2-HIGH"), (None, None), (-7, "1-URGENT"), (8, "")]
+    spark.createDataFrame(keys, "o_orderkey long, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    df = entry.queries()["map_markers"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    want = c.execute(entry.oracle_sql()["map_markers"])
+    columns = [d[0] for d in want.description]
+    rows = [tuple(r) for r in df.select(*columns).collect()]
+    assert plain(rows, columns) == plain(want.fetchall(), columns)
+    assert len(rows) == 5 and sum(r[columns.index("popup")] is None for r in rows) == 3
